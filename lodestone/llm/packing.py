@@ -21,7 +21,9 @@ cut as often as needed.
 
 from __future__ import annotations
 
+import gc
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -37,18 +39,23 @@ WINDOW = 4096
 END_ID = 2
 SENTENCE, ANYWHERE, GAP = 8, 24, 64
 BLOCK = 1 << 19
-#: Words whose ids a worker remembers, at most.
-TOKEN_CACHE = 150_000
+#: Words whose ids a worker remembers, at most (and one chunk's more).
+WORDS_KEPT = 700_000
+#: Marks become dots, the first bytes of code points outside ASCII and U+00C0 to U+027F zeros, the rest letters.
+_SHAPE = bytes(
+    32 if c in b" \t\n\v\f\r" else 46 if c < 128 and not chr(c).isalnum() else 0 if 0xC0 <= c < 0xC3 or c >= 0xCA else 97
+    for c in range(256)
+)
 
 SCHEMA = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 )
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict = {}
 
 
 class WordIds(dict):
-    """The ids of words, as little-endian unsigned 32-bit bytes."""
+    """The ids of words, as unsigned 32-bit bytes (of the machine, little-endian here)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,14 +68,32 @@ class WordIds(dict):
                 self.ends[i] = True
         self.ends[END_ID] = False
 
+
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > TOKEN_CACHE:
+        if len(self) + len(words) > WORDS_KEPT:
             self.clear()
-        new = [w for w in words if w not in self]
+        new = list(words.difference(self))
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.update(zip(part, [array("I", e.ids).tobytes() for e in found], strict=True))
+
+
+def loose_words(raw: bytes | None) -> list[bytes]:
+    """Parts of a text whose ids in a row are the text's.
+
+    White space separates tokens of this vocabulary. Where no two marks stand together and all letters
+    are below U+0280, which have their normal form and lower case alone, so do single marks; lower-cased
+    and without marks, far fewer words are distinct. Other texts are left as they are."""
+    if not raw:
+        return []
+    shape = raw.translate(_SHAPE)
+    if b".." in shape or b"\0" in shape or b"\xc4\xb0" in raw or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
+        return raw.split()
+    raw = raw.lower() if raw.isascii() else raw.decode().lower().encode()
+    for mark in (b".", b",", b"!", b"?", b";", b":"):
+        raw = raw.replace(mark, b" " + mark + b" ")
+    return raw.split()
 
 
 def word_ids(path: str) -> WordIds:
@@ -121,6 +146,7 @@ def candidate_cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarr
 
 def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int = WINDOW) -> Iterator[pa.RecordBatch]:
     cache = word_ids(path)
+    gc.disable()  # nothing here is cyclic, and the many words make collections slow
     end = np.array([END_ID], "<u4").tobytes()
     sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
     # the open block: ids, and for each document its doc_id, ids before the block, ids in all, and end in the block
@@ -168,7 +194,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int = W
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) if isinstance(v, np.ndarray) else v for k, v in out.items()})
 
     for chunk in chunks(batches):
-        lists = [t.split() if t else [] for t in column_bytes(chunk)]
+        lists = list(map(loose_words, column_bytes(chunk)))
         cache.learn(set().union(*lists))
         get = cache.__getitem__
         for doc_id, words in zip(chunk.column("doc_id").to_pylist(), lists, strict=True):
@@ -181,6 +207,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int = W
                 yield solve(False)
     if size:
         yield solve(True)
+    gc.enable()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
