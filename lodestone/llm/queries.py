@@ -9,6 +9,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality_rules import score
+
+    return score(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,5 +29,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
