@@ -15,6 +15,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_documents(spark, sf_dir))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.secrets import scan_digests
+
+    return scan_digests(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,5 +35,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op7_secret_scans": op7_secret_scans, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
