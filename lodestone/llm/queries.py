@@ -15,6 +15,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_documents(spark, sf_dir))
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.cotraining import classify
+
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.neighbours import search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.secrets import scan_digests
 
@@ -35,5 +48,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op7_secret_scans": op7_secret_scans, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op7_secret_scans": op7_secret_scans, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
