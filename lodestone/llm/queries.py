@@ -34,6 +34,12 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_digests(_documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.language_model import score
+
+    return score(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +54,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op7_secret_scans": op7_secret_scans, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op7_secret_scans": op7_secret_scans, "op8_lm_scoring": op8_lm_scoring, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
