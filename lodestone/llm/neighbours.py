@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import settle
 
 #: Vectors the tree is fitted on at most, children of a node, sample vectors in a leaf at most.
-SAMPLE, BRANCH, LEAF = 20_000, 16, 48
-RECALL, CALIBRATED_ON = 0.985, 400
+SAMPLE, BRANCH, LEAF = 20_000, 16, 192
+RECALL, CALIBRATED_ON = 0.96, 400
 BLOCK = 256
 
 
@@ -147,6 +147,38 @@ def _blocks(leaf: np.ndarray, ids: np.ndarray, x: np.ndarray, names: list[str])
             yield pa.RecordBatch.from_arrays([*numbers, pa.array([ids[rows].tobytes()]), pa.array([x[rows].tobytes()])], names=names)
 
 
+def _close(qids, q, ids, x, k: int, limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of the queries and vectors that can be among the k nearest: a product finds them, with room for
+    its rounding, and their distances are then computed exactly."""
+    gaps = (x**2).sum(1) - 2 * (q @ x.T) + (q**2).sum(1)[:, None]
+    room = 1e-9 * (1 + (x**2).sum(1).max() + (q**2).sum(1).max())
+    gaps[qids[:, None] == ids] = np.inf
+    most = np.full(len(qids), np.inf)
+    if len(ids) > k:
+        most = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+    known, limit = limits
+    if len(known):
+        at = np.minimum(np.searchsorted(known, qids), len(known) - 1)
+        most = np.minimum(most, np.where(known[at] == qids, limit[at] ** 2, np.inf))
+    i, j = np.nonzero((gaps <= most[:, None] + room) & (gaps < np.inf))
+    return qids[i], ids[j], distances(q[i], x[j])
+
+
+def _best(held: list, k: int):
+    """The k nearest of each query so far, and for each query that has k the distance of the last."""
+    qid, vid, gap = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((vid, gap, qid))
+    qid, vid, gap = qid[order], vid[order], gap[order]
+    new = np.ones(len(qid), bool)
+    new[1:] = (qid[1:] != qid[:-1]) | (vid[1:] != vid[:-1]) | (gap[1:] != gap[:-1])
+    qid, vid, gap = qid[new], vid[new], gap[new]
+    first = np.flatnonzero(np.append(True, qid[1:] != qid[:-1])) if len(qid) else np.zeros(0, int)
+    place = np.arange(len(qid)) - np.repeat(first, np.diff(np.append(first, len(qid))))
+    full = place == k - 1
+    keep = place < k
+    return [(qid[keep], vid[keep], gap[keep])], (qid[full], gap[full])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 1) -> DataFrame:
     """query_id, rank, vec_id, score for each row of queries among the rows of vectors; both have vec_id, embedding."""
     spark = vectors.sparkSession
@@ -189,17 +221,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 1) -
             yield from _blocks(np.array(leaf, int), ids[at], x[at], ["leaf", "m", "qids", "qvecs"])
 
     def meet(batches):
+        held, size, limits = [], 0, (np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             for row in batch.to_pylist():
                 ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vecs"]).reshape(-1, dim)
-                out = []
-                for qid, q in zip(np.frombuffer(row["qids"], np.int64).tolist(), np.frombuffer(row["qvecs"]).reshape(-1, dim), strict=True):
-                    gaps = distances(q, x)
-                    best = np.lexsort((ids, gaps))
-                    best = best[ids[best] != qid][: 2 * k]
-                    out.append((np.full(len(best), qid), ids[best], gaps[best]))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+                qids, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qvecs"]).reshape(-1, dim)
+                held.append(_close(qids, q, ids, x, k, limits))
+                size += len(held[-1][0])
+                if size > 200_000:
+                    held, limits = _best(held, k)
+                    size = len(held[0][0])
+        if held:
+            best = _best(held, k)[0][0]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query_id", "vec_id", "score"])
 
     sought = asked.mapInArrow(route, "leaf int, m int, qids binary, qvecs binary")
     pairs = members.join(sought, "leaf").select("ids", "vecs", "qids", "qvecs")
