@@ -7,20 +7,18 @@ one chunk at a time, so a worker's memory doesn't grow with a partition.
 
 from __future__ import annotations
 
-import atexit
-import gc
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.lineage import release, settle  # noqa: F401  used by the operators
+
 CHUNK_BYTES = 3 << 20
 #: Words whose hash a worker remembers, at most.
 WORD_CACHE = 200_000
@@ -44,44 +42,11 @@ def order_id() -> Column:
 def n_buckets(df: DataFrame, mb: int = 24) -> int:
     """Buckets for keys drawn from df: the session's shuffle partitions, or one for each mb of its input if more."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = size if size < 1 << 60 else 0  # unknown
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (mb << 20)))
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: lineage ends there, and the shuffle
-    files of what made it can go. The files are deleted when the application ends."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="lodestone-")  # no cluster: tests and single-machine runs
-        spark.sparkContext.setCheckpointDir(top)
-        top = spark.sparkContext.getCheckpointDir()
-    path = f"{top.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that nothing refers to
-    return spark.read.parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended before the interpreter: its owner clears the folder
-            return
-
-
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``most`` bytes of text each, one row at least."""
     for batch in batches:
@@ -149,3 +114,54 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out[:n]
+
+
+def by_bucket(h: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket that h falls in: the bucket and, as bytes, its part of each column."""
+    bucket = (h % np.uint64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=n_buckets))
+    parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    rows = [pa.array([int(bucket[p[0]]) for p in parts], pa.int32())]
+    return pa.RecordBatch.from_arrays([*rows, *(pa.array([c[p].tobytes() for p in parts], pa.binary()) for c in columns.values())], names=["bucket", *columns])
+
+
+def unpack(table: pa.Table | pa.RecordBatch, name: str, dtype) -> np.ndarray:
+    """All values of a column of packed arrays."""
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
+
+
+def repeated_keys(packed: DataFrame) -> DataFrame:
+    """From rows (bucket, keys) of distinct keys, with the lowest bit set where one row's source already holds
+    the key twice: for each bucket the sorted keys (lowest bit clear) that stand in two rows or are so marked.
+
+    Each source has sent a key once, so a very frequent key costs its bucket one entry for each source."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.sort(unpack(table, "keys", np.uint64))
+        key = keys & ~np.uint64(1)
+        twice = np.zeros(len(key), bool)
+        twice[1:] = key[1:] == key[:-1]
+        found = np.unique(key[twice | ((keys & np.uint64(1)) > 0)])
+        return pa.table({"bucket": table.column("bucket")[:1], "shared": pa.array([found.tobytes()], pa.binary())})
+
+    return settle(packed.groupBy("bucket").applyInArrow(merge, "bucket int, shared binary"))
+
+
+def once(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distinct keys with the lowest bit telling whether two owners have the key."""
+    order = np.lexsort((owner, key))
+    k, o = key[order] & ~np.uint64(1), owner[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    at = np.flatnonzero(first)
+    if not len(at):
+        return k
+    return k[at] | (np.minimum.reduceat(o, at) != np.maximum.reduceat(o, at)).astype(np.uint64)
+
+
+def is_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each key is in the sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
