@@ -34,6 +34,12 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.jaccard_join import join
+
+    return join(_documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.secrets import scan_digests
 
@@ -60,5 +66,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op7_secret_scans": op7_secret_scans, "op8_lm_scoring": op8_lm_scoring, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scans": op7_secret_scans, "op8_lm_scoring": op8_lm_scoring, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
