@@ -15,6 +15,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(_documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffix_dedup import dedup_digests
+
+    return dedup_digests(_documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality_rules import score
 
@@ -66,5 +72,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scans": op7_secret_scans, "op8_lm_scoring": op8_lm_scoring, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scans": op7_secret_scans, "op8_lm_scoring": op8_lm_scoring, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
