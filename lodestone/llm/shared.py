@@ -22,6 +22,8 @@ from lodestone.plans.lineage import release, settle  # noqa: F401  used by the o
 CHUNK_BYTES = 3 << 20
 #: Words whose hash a worker remembers, at most.
 WORD_CACHE = 200_000
+#: A bucket with more than so many times the mean number of entries is dealt out.
+HOT = 3
 #: The pattern of a word, for Java and Python regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A missing doc_id orders after every other.
@@ -131,11 +133,19 @@ def unpack(table: pa.Table | pa.RecordBatch, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
 
 
+def packed_once(key: np.ndarray, owner: np.ndarray, n: int) -> pa.RecordBatch:
+    """A chunk's distinct keys by bucket (see ``once``), with the number of entries they stand for."""
+    keys = once(key, owner)
+    out = by_bucket(mix(keys & ~np.uint64(1)), n, {"keys": keys})
+    entries = np.bincount((mix(key & ~np.uint64(1)) % np.uint64(n)).astype(np.int64), minlength=n)
+    return out.append_column("entries", pa.array(entries[out.column("bucket").to_numpy()], pa.int64()))
+
+
 def repeated_keys(packed: DataFrame) -> DataFrame:
-    """From rows (bucket, keys) of distinct keys, with the lowest bit set where one row's source already holds
-    the key twice: for each bucket the sorted keys (lowest bit clear) that stand in two rows or are so marked.
+    """From ``packed_once`` rows (bucket, keys, entries): for each bucket the sorted keys that two owners have,
+    and its entries in all.
 
-    Each source has sent a key once, so a very frequent key costs its bucket one entry for each source."""
+    Each chunk has sent a key once, so a very frequent key costs its bucket one entry for each chunk."""
 
     def merge(table: pa.Table) -> pa.Table:
         keys = np.sort(unpack(table, "keys", np.uint64))
@@ -143,9 +153,40 @@ def repeated_keys(packed: DataFrame) -> DataFrame:
         twice = np.zeros(len(key), bool)
         twice[1:] = key[1:] == key[:-1]
         found = np.unique(key[twice | ((keys & np.uint64(1)) > 0)])
-        return pa.table({"bucket": table.column("bucket")[:1], "shared": pa.array([found.tobytes()], pa.binary())})
-
-    return settle(packed.groupBy("bucket").applyInArrow(merge, "bucket int, shared binary"))
+        entries = pa.array([sum(table.column("entries").to_pylist())], pa.int64())
+        return pa.table({"bucket": table.column("bucket")[:1], "shared": pa.array([found.tobytes()], pa.binary()), "entries": entries})
+
+    return settle(packed.groupBy("bucket").applyInArrow(merge, "bucket int, shared binary, entries long"))
+
+
+def hot_buckets(index: DataFrame) -> dict[int, int]:
+    """Into how many parts the entries of a bucket with over HOT times the mean are to be dealt; fewer than 1 / HOT of all buckets."""
+    mean = index.agg(F.avg("entries")).first()[0] or 1.0
+    rows = index.where(F.col("entries") > max(HOT * mean, 4096)).select("bucket", "entries").collect()
+    return {r["bucket"]: math.ceil(r["entries"] / (HOT * mean)) for r in rows}
+
+
+def probe(left: DataFrame, index: DataFrame, hot: dict[int, int], n: int, by: str, look, schema: str) -> DataFrame:
+    """look(left rows, index rows) for each bucket. A hot bucket's left rows (pieces of chunks) are dealt by
+    a hash of the column ``by`` to several groups, each of which gets the bucket's index."""
+    if hot:
+        table = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+        parts = lambda: F.coalesce(F.try_element_at(table, F.col("bucket")), F.lit(1))
+        left = left.withColumn("bucket", (F.col("bucket") + F.lit(n) * F.pmod(F.xxhash64(by), parts())).cast("int"))
+        index = index.withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(0), parts() - 1), lambda i: F.col("bucket") + F.lit(n) * i)))
+    return left.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look, schema)
+
+
+def pick_shared(left: pa.Table, index: pa.Table) -> pa.Table:
+    """A row for each document with its keys that are in the index: row, keys."""
+    keys, rows = unpack(left, "keys", np.uint64), unpack(left, "rows", np.int64)
+    hit = is_in(keys, unpack(index, "shared", np.uint64))
+    keys, rows = keys[hit], rows[hit]
+    order = np.argsort(rows, kind="stable")
+    keys, rows = keys[order], rows[order]
+    edges = np.append(np.flatnonzero(np.append(True, rows[1:] != rows[:-1])), len(rows)) if len(rows) else np.zeros(1, int)
+    parts = [keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"row": pa.array(rows[edges[:-1]], pa.int64()), "keys": pa.array(parts, pa.binary())})
 
 
 def once(key: np.ndarray, owner: np.ndarray) -> np.ndarray:

@@ -11,8 +11,8 @@ Only runs that may recur reach the index. Each run of 13 words has a minimiser,
 its 6-word runs; equal runs have equal minimisers, so a run whose minimiser stands in one place only
 is left out. Steps: (1) minimisers that occur in two documents; (2) each document's part of those;
 (3) the index of the runs they belong to, pre-aggregated in each chunk; (4) look-up, parse, removal.
-Steps 2 and 4 are joins on the bucket of a hash whose left rows are small pieces of chunks, which
-Spark splits if a bucket is large; step 1 and 3 receive a key once from each chunk.
+Steps 2 and 4 look up the pieces of all chunks in a bucket's index, and the pieces of a bucket with
+many are dealt to several tasks; steps 1 and 3 receive a key once from each chunk.
 
 Defined cases: a null text has no words; a null doc_id orders after all others; repeated rows (same
 doc_id) never remove each other's words; an empty table gives no rows; texts of any length are whole.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import (
-    WordHashes, by_bucket, chunks, column_bytes, gram_hashes, hashed_words, is_in, mix, n_buckets, once, order_id, release, repeated_keys, row_key, settle, sliding_min, unpack,
+    WordHashes, by_bucket, chunks, column_bytes, gram_hashes, hashed_words, hot_buckets, is_in, mix, n_buckets, order_id, packed_once, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack,
 )
 
 WORDS, SEED_WORDS = 13, 6
@@ -77,24 +77,11 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
                 rows = chunk.column("row").to_numpy()[doc]
                 yield by_bucket(mix(least), n, {"keys": least, "rows": rows})
             else:
-                keys = once(least, doc)
-                yield by_bucket(mix(keys & ~np.uint64(1)), n, {"keys": keys})
+                yield packed_once(least, doc, n)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                keys, rows = unpack(one, "keys", np.uint64), unpack(one, "rows", np.int64)
-                hit = is_in(keys, unpack(one, "shared", np.uint64))
-                keys, rows = keys[hit], rows[hit]
-                order = np.argsort(rows, kind="stable")
-                new = np.append(changes(rows[order]), len(rows))
-                parts = [keys[order[a:b]].tobytes() for a, b in zip(new[:-1], new[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[order[new[:-1]]], pa.int64()), pa.array(parts, pa.binary())], names=["row", "keys"])
-
-    shared = repeated_keys(docs.select("text").mapInArrow(lambda it: seeds(it, False), "bucket int, keys binary"))
+    shared = repeated_keys(docs.select("text").mapInArrow(lambda it: seeds(it, False), "bucket int, keys binary, entries long"))
     mine = docs.select("row", "text").mapInArrow(lambda it: seeds(it, True), "bucket int, keys binary, rows binary")
-    mine = mine.join(shared, "bucket").select("keys", "rows", "shared").mapInArrow(pick, "row long, keys binary")
+    mine = probe(mine, shared, hot_buckets(shared), n, "rows", pick_shared, "row long, keys binary")
     mine = settle(mine.groupBy("row").agg(F.collect_list("keys").alias("seeds")))
     release(shared)
 
@@ -127,7 +114,8 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
                 new = changes(run[order])
                 last = np.append(new[1:], len(run)) - 1
                 lo, hi = ords[order[new]], ords[order[last]]
-                yield pa.RecordBatch.from_arrays([one.column("bucket"), pa.array([(run[order[new]] | (lo != hi)).tobytes()]), pa.array([lo.tobytes()])], names=["bucket", "runs", "lo"])
+                keys = pa.array([(run[order[new]] | (lo != hi)).tobytes()])
+                yield pa.RecordBatch.from_arrays([one.column("bucket"), keys, pa.array([lo.tobytes()]), pa.array([len(run)])], names=["bucket", "runs", "lo", "entries"])
 
     def merge(table: pa.Table) -> pa.Table:
         run, lo = unpack(table, "runs", np.uint64), unpack(table, "lo", np.int64)
@@ -136,29 +124,25 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
         new = changes(key)
         size = np.diff(np.append(new, len(key)))
         keep = (size > 1) | (np.logical_or.reduceat(many, new) if len(new) else many)
-        return pa.table({"bucket": table.column("bucket")[:1], "index": pa.array([key[new[keep]].tobytes()]), "lo": pa.array([lo[new[keep]].tobytes()])})
-
-    index = found.select("bucket", "runs", "counts", "ords").mapInArrow(firsts, "bucket int, runs binary, lo binary")
-    index = settle(index.groupBy("bucket").applyInArrow(merge, "bucket int, index binary, lo binary"))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                run, at, counts = unpack(one, "runs", np.uint64), unpack(one, "at", np.uint32), unpack(one, "counts", np.uint32)
-                table, lo = unpack(one, "index", np.uint64), unpack(one, "lo", np.int64)
-                if not len(table) or not len(run):
-                    continue
-                place = np.minimum(np.searchsorted(table, run), len(table) - 1)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                hit = np.flatnonzero((table[place] == run) & (lo[place] < unpack(one, "ords", np.int64)[owner]))
-                new = changes(owner[hit])
-                rows, edges = unpack(one, "rows", np.int64)[owner[hit[new]]], np.append(new, len(hit))
-                cut = lambda x, e=edges: pa.array([x[a:b].tobytes() for a, b in zip(e[:-1], e[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), cut(at[hit]), cut(lo[place[hit]])], names=["row", "at", "source"])
-
-    matched = found.join(index, "bucket").select("runs", "at", "counts", "rows", "ords", "index", "lo")
-    matched = matched.mapInArrow(look_up, "row long, at binary, source binary").groupBy("row")
+        entries = pa.array([sum(table.column("entries").to_pylist())], pa.int64())
+        return pa.table({"bucket": table.column("bucket")[:1], "index": pa.array([key[new[keep]].tobytes()]), "lo": pa.array([lo[new[keep]].tobytes()]), "entries": entries})
+
+    index = found.select("bucket", "runs", "counts", "ords").mapInArrow(firsts, "bucket int, runs binary, lo binary, entries long")
+    index = settle(index.groupBy("bucket").applyInArrow(merge, "bucket int, index binary, lo binary, entries long"))
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        run, at, counts = unpack(left, "runs", np.uint64), unpack(left, "at", np.uint32), unpack(left, "counts", np.uint32)
+        table, lo = unpack(right, "index", np.uint64), unpack(right, "lo", np.int64)
+        place = np.minimum(np.searchsorted(table, run), max(len(table) - 1, 0))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        hit = np.flatnonzero((table[place] == run) & (lo[place] < unpack(left, "ords", np.int64)[owner])) if len(table) else np.zeros(0, int)
+        new = changes(owner[hit])
+        rows, edges = unpack(left, "rows", np.int64)[owner[hit[new]]], np.append(new, len(hit))
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+        return pa.table({"row": pa.array(rows, pa.int64()), "at": cut(at[hit]), "source": cut(lo[place[hit]])})
+
+    matched = found.select("bucket", "runs", "at", "counts", "rows", "ords")
+    matched = probe(matched, index, hot_buckets(index), n, "rows", look_up, "row long, at binary, source binary").groupBy("row")
     matched = settle(matched.agg(F.collect_list(F.struct("at", "source")).alias("hits")))
     release(found, index)
 
