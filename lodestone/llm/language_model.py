@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import chunks, column_bytes, settle
+from lodestone.llm.shared import chunks, column_bytes, probe, settle
 
-DEPTH, EVENTS, HEAD = 6, 1 << 19, 100_000
+DEPTH, EVENTS, HEAD = 6, 1 << 19, 80_000
 END = b"\n"
 #: Distinct tokens that a task gathers before it passes them on, and in a bucket of the token table.
-GATHERED, IN_BUCKET = 400_000, 400_000
+GATHERED, IN_BUCKET = 300_000, 400_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = slice(k, k + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(words[s], pa.binary()), pa.array(c[s]), pa.array(t[s])], names=["word", "c", "total"])
 
-    for chunk in chunks(batches):
+    for chunk in chunks(batches, most=2 << 20):
         for raw, held in zip(column_bytes(chunk), chunk.column("held_out").to_pylist(), strict=True):
             (other if held else train).update(_tokens(raw))
         if len(train) + len(other) > GATHERED:
@@ -129,12 +129,26 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        found, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return found, np.bincount(which, np.concatenate([n for _, n in held]), len(found))
+
+    def out(found, n):
+        for k in range(0, len(found), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000].astype(np.int64)), pa.array(n[k : k + 50_000])], names=["key", "n"])
+
     for batch in batches:
-        words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-        keys, ends = token_events(words)
-        found, which = np.unique(keys, return_inverse=True)
-        n = np.bincount(which, np.repeat(c, np.diff(ends, prepend=0)), len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["key", "n"])
+        keys, ends = token_events(batch.column("word").to_pylist())
+        held.append((keys, np.repeat(batch.column("c").to_numpy().astype(float), np.diff(ends, prepend=0))))
+        if sum(len(k) for k, _ in held) > 1 << 20:
+            held = [merged()]
+            if len(held[0][0]) > 1 << 19:
+                yield from out(*held[0])
+                held = []
+    if held:
+        yield from out(*merged())
 
 
 def fit(vocabulary: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -156,9 +170,9 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"))
     vocabulary = docs.select("text", "held_out").mapInArrow(_gather, "word binary, c long, total long")
     vocabulary = settle(vocabulary.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.lit(1)).alias("all")).first()
+    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("total"), F.lit(0)).alias("seen")).first()
     n_train, whole = sums["n"], sums["n"] + 0.5 * (sums["v"] + 1)
-    n_buckets = max(8, -(-sums["all"] // IN_BUCKET))
+    n_buckets = max(8, -(-sums["all"] // IN_BUCKET), sums["seen"] // (20 * IN_BUCKET))
     model = spark.sparkContext.broadcast(fit(vocabulary))
 
     def cost(batches):
@@ -184,7 +198,7 @@ def score(docs: DataFrame) -> DataFrame:
         uid, get = TaskContext.get().partitionId() << 40, place.get
         names = ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "lp", "bucket", "hashes", "uids"]
         logs, lps, known = np.append(logs, 0.0), np.append(lps, 0.0), np.append(known, False)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, most=2 << 20):
             lists = list(map(_tokens, column_bytes(chunk)))
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = [w for ws in lists for w in ws]
@@ -225,26 +239,22 @@ def score(docs: DataFrame) -> DataFrame:
                 rows = rows[np.argsort(h[rows])]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x[rows].tobytes()]) for x in (h, c, lp))], names=["bucket", "h", "c", "lp"])
 
-    def merged(rows):
-        h, c, lp = (np.concatenate([np.frombuffer(x, t) for x in rows.column(n).to_pylist()]) for n, t in (("h", np.uint64), ("c", np.int64), ("lp", float)))
-        order = np.argsort(h)
-        return pa.table({"bucket": rows.column("bucket")[:1], "h": [h[order].tobytes()], "c": [c[order].tobytes()], "lp": [lp[order].tobytes()]})
+    index = costs.select("h", "c", "lp").mapInArrow(table, "bucket int, h binary, c binary, lp binary")
 
-    index = costs.select("h", "c", "lp").repartition(n_buckets, F.expr(f"pmod(h, {n_buckets})")).mapInArrow(table, "bucket int, h binary, c binary, lp binary")
-    index = index.groupBy("bucket").applyInArrow(merged, "bucket int, h binary, c binary, lp binary")
-    index = settle(index)
-
-    def meet(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                h, c, lp = (np.frombuffer(row[n], t) for n, t in (("h", np.uint64), ("c", np.int64), ("lp", float)))
-                at = np.searchsorted(h, np.frombuffer(row["hashes"], np.uint64))
-                uids, which = np.unique(np.frombuffer(row["uids"], np.int64), return_inverse=True)
-                cols = [np.bincount(which, w, len(uids)) for w in (c[at] > 0, base(c[at]), lp[at])]
-                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(cols[0].astype(np.int64)), *map(pa.array, cols[1:])], names=["uid", "k", "b", "l"])
-
-    rare = done.where("bucket is not null").select("bucket", "hashes", "uids").join(index, "bucket")
-    rare = rare.mapInArrow(meet, "uid long, k long, b double, l double").groupBy("uid").agg(*[F.sum(x).alias(x) for x in "kbl"])
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, c, lp = (np.concatenate([np.frombuffer(x, t) for x in right.column(n).to_pylist()] or [np.zeros(0, t)]) for n, t in (("h", np.uint64), ("c", np.int64), ("lp", float)))
+        order = np.argsort(h)
+        h, logs, lp, known = h[order], base(c[order]), lp[order], c[order] > 0
+        out = []
+        for hashes, uids in zip(left.column("hashes"), left.column("uids"), strict=True):
+            at = np.searchsorted(h, np.frombuffer(hashes.as_buffer(), np.uint64))
+            uid, which = np.unique(np.frombuffer(uids.as_buffer(), np.int64), return_inverse=True)
+            out.append((uid, *(np.bincount(which, x[at], len(uid)) for x in (known, logs, lp))))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0)] * 4
+        return pa.table({"uid": pa.array(cols[0].astype(np.int64)), "k": pa.array(cols[1].astype(np.int64)), "b": cols[2], "l": cols[3]})
+
+    rare = probe(done.where("bucket is not null").select("bucket", "hashes", "uids"), index, {}, n_buckets, "uids", meet, "uid long, k long, b double, l double")
+    rare = rare.groupBy("uid").agg(*[F.sum(x).alias(x) for x in "kbl"])
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return done.where("uid is not null").drop("bucket", "hashes", "uids").join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", plus("known", "k").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
