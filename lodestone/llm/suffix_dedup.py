@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import by_bucket, chunks, column_bytes, is_in, mix, n_buckets, once, release, repeated_keys, row_key, settle, sliding_min, unpack
+from lodestone.llm.shared import by_bucket, chunks, column_bytes, hot_buckets, is_in, mix, n_buckets, packed_once, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack
 
 LEAST, SEED = 400, 32
 SCAN_BYTES, SORT_BYTES = 1 << 20, 1 << 20
@@ -198,24 +198,12 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 yield by_bucket(mix(scan.key), n, {"keys": scan.key, "rows": chunk.column("row").to_numpy()[scan.doc]})
             else:
                 twice = scan.key[scan.twice]
-                keys = once(np.concatenate([scan.key, twice]), np.concatenate([scan.start, -1 - np.flatnonzero(scan.twice)]))
-                yield by_bucket(mix(keys & ~np.uint64(1)), n, {"keys": keys})
-
-    def pick(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                keys, rows = unpack(one, "keys", np.uint64), unpack(one, "rows", np.int64)
-                hit = is_in(keys, unpack(one, "shared", np.uint64))
-                keys, rows = keys[hit], rows[hit]
-                order = np.argsort(rows, kind="stable")
-                edges = np.flatnonzero(np.append(np.append(True, np.diff(rows[order]) != 0), True)) if len(rows) else np.zeros(1, int)
-                parts = [keys[order[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[order[edges[:-1]]], pa.int64()), pa.array(parts, pa.binary())], names=["row", "keys"])
-
-    shared = repeated_keys(docs.select("text").mapInArrow(lambda it: seeds(it, False), "bucket int, keys binary"))
+                yield packed_once(np.concatenate([scan.key, twice]), np.concatenate([scan.start, -1 - np.flatnonzero(scan.twice)]), n)
+
+    shared = repeated_keys(docs.select("text").mapInArrow(lambda it: seeds(it, False), "bucket int, keys binary, entries long"))
     mine = docs.select("row", "text").mapInArrow(lambda it: seeds(it, True), "bucket int, keys binary, rows binary")
-    mine = mine.join(shared, "bucket").select("keys", "rows", "shared").mapInArrow(pick, "row long, keys binary")
+    hot = hot_buckets(shared)
+    mine = probe(mine, shared, hot, n, "rows", pick_shared, "row long, keys binary")
     mine = settle(mine.groupBy("row").agg(F.collect_list("keys").alias("seeds")))
     release(shared)
     names = ["bucket", "keys", "hashes", "again", "sizes", "bytes", "refs", "rows", "starts"]
@@ -294,30 +282,24 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     built = found.select("bucket", "keys", "hashes", "again", "sizes", "bytes").groupBy("bucket")
     built = settle(built.applyInArrow(index, "bucket int, known binary, counts binary, first binary, last binary"))
 
-    def place(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                refs, rows, starts = unpack(one, "refs", np.uint64), unpack(one, "rows", np.int64), unpack(one, "starts", np.int64)
-                known, counts = unpack(one, "known", np.uint64), unpack(one, "counts", np.uint32).astype(np.int64)
-                if not len(known):
-                    continue
-                at = np.minimum(np.searchsorted(known, refs), len(known) - 1)
-                hit = np.flatnonzero(known[at] == refs)
-                own = at[hit]
-                base = (np.cumsum(counts) - counts)[own]
-                each = np.repeat(np.arange(len(hit)), counts[own])
-                j = np.arange(len(each)) - np.repeat(np.cumsum(counts[own]) - counts[own], counts[own]) + base[each]
-                first, last = (unpack(one, c, np.int32)[j] + starts[hit[each]] for c in ("first", "last"))
-                row = rows[hit[each]]
-                order = np.argsort(row, kind="stable")
-                row, first, last = row[order], first[order].astype(np.int64), last[order].astype(np.int64)
-                edges = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, int)
-                cols = [pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in (first, last)]
-                yield pa.RecordBatch.from_arrays([pa.array(row[edges[:-1]], pa.int64()), *cols], names=["row", "first", "last"])
-
-    spans = found.select("bucket", "refs", "rows", "starts").join(built, "bucket").drop("bucket")
-    spans = spans.mapInArrow(place, "row long, first binary, last binary").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        refs, rows, starts = unpack(left, "refs", np.uint64), unpack(left, "rows", np.int64), unpack(left, "starts", np.int64)
+        known, counts = unpack(right, "known", np.uint64), unpack(right, "counts", np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(known, refs), max(len(known) - 1, 0))
+        hit = np.flatnonzero(known[at] == refs) if len(known) else np.zeros(0, int)
+        own = at[hit]
+        each = np.repeat(np.arange(len(hit)), counts[own])
+        j = np.arange(len(each)) + np.repeat((np.cumsum(counts) - counts)[own] - (np.cumsum(counts[own]) - counts[own]), counts[own])
+        first, last = (unpack(right, c, np.int32)[j] + starts[hit[each]] for c in ("first", "last"))
+        row = rows[hit[each]]
+        order = np.argsort(row, kind="stable")
+        row, first, last = row[order], first[order].astype(np.int64), last[order].astype(np.int64)
+        edges = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, int)
+        cols = [pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in (first, last)]
+        return pa.table({"row": pa.array(row[edges[:-1]], pa.int64()), "first": cols[0], "last": cols[1]})
+
+    spans = probe(found.select("bucket", "refs", "rows", "starts"), built, hot, n, "rows", place, "row long, first binary, last binary")
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = settle(spans)
     release(found, built)
 
