@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import WordHashes, chunks, column_bytes, gram_hashes, hashed_words, settle
+from lodestone.llm.shared import WordHashes, chunks, column_bytes, gram_hashes, hashed_words, row_key, settle
 
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 KEEP_FROM = 0.5
@@ -161,3 +161,10 @@ def score(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("posterior") >= KEEP_FROM)).alias("kept"), "posterior", "votes",
     )
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept. The verdicts come back by the row's key, so that texts cross the shuffle once."""
+    keyed = docs.withColumn("__row", row_key())
+    verdict = score(keyed.select(F.col("__row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(verdict, "__row", "left_semi").select(*docs.columns)
