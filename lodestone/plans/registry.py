@@ -1,4 +1,589 @@
-"""Named queries over the driver's tables and their DuckDB counterparts."""
+"""Named queries over the driver's tables, and the DuckDB statements that give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import similarity as S
+from lodestone.operators import blocking, embeddings, matching, paths
+from lodestone.plans.graph import FACT, FactGraph
+from lodestone.plans.patterns import parse
+from lodestone.sources import formats
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+# ---- the tables as facts
+
+#: (predicate, subject kind, subject key, object kind or "" for a literal, object, table, whether rows repeat)
+VIEW = (
+    ("inRegion", "nation", "n_nationkey", "region", "n_regionkey", "nation", False),
+    ("inNation", "customer", "c_custkey", "nation", "c_nationkey", "customer", False),
+    ("inNation", "supplier", "s_suppkey", "nation", "s_nationkey", "supplier", False),
+    ("segment", "customer", "c_custkey", "", "c_mktsegment", "customer", False),
+    ("placedBy", "order", "o_orderkey", "customer", "o_custkey", "orders", False),
+    ("brand", "part", "p_partkey", "", "p_brand", "part", False),
+    ("contains", "order", "l_orderkey", "part", "l_partkey", "lineitem", True),
+    ("supplies", "supplier", "l_suppkey", "part", "l_partkey", "lineitem", True),
+)
+
+
+def _term(kind: str, key: str):
+    return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")) if kind else F.col(key)
+
+
+def facts(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> FactGraph:
+    """The tables as a graph. Repeated rows are dropped where a table has them; different predicates can't repeat each other."""
+    parts = []
+    for predicate, sk, s, ok, o, table, repeats in VIEW:
+        if only is None or predicate in only:
+            rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(s, o)
+            rows = rows.distinct() if repeats else rows
+            parts.append(rows.select(_term(sk, s).alias("subject"), F.lit(predicate).alias("predicate"), _term(ok, o).alias("object")))
+    return FactGraph(reduce(DataFrame.unionByName, parts), distinct=True)
+
+
+def _sql_part(row) -> str:
+    predicate, sk, s, ok, o, table, repeats = row
+    obj = f"'{ok}:' || {o}" if ok else o
+    return f"SELECT {'DISTINCT ' if repeats else ''}'{sk}:' || {s} AS s, '{predicate}' AS p, {obj} AS o FROM {table}"
+
+
+T = "WITH RECURSIVE t AS (" + " UNION ALL ".join(map(_sql_part, VIEW)) + ") "
+
+
+# ---- scans, look-ups, sets
+
+
+@query("kg_scan", T + "SELECT s AS subject, p AS predicate, o AS object FROM t")
+def kg_scan(spark, sf_dir):
+    return facts(spark, sf_dir).facts
+
+
+_BOUND = {"s": "customer:7", "p": "inNation", "o": "nation:3"}
+for _key in ("spo", "sp", "po", "os", "s", "p", "o"):
+    _terms = {c: _BOUND[c] for c in _key}
+    if "s" in _key and "o" in _key:
+        _terms |= {"s": "nation:3", "o": "region:1"} | ({"p": "inRegion"} if "p" in _key else {})
+    _where = " AND ".join(f"{c} = '{v}'" for c, v in _terms.items())
+
+    @query(f"kg_lookup_{_key}", T + f"SELECT s AS subject, p AS predicate, o AS object FROM t WHERE {_where}")
+    def kg_lookup(spark, sf_dir, terms=_terms):
+        return facts(spark, sf_dir).lookup(terms.get("s"), terms.get("p"), terms.get("o"))
+
+
+@query("kg_subjects", T + "SELECT DISTINCT s AS subject FROM t")
+def kg_subjects(spark, sf_dir):
+    return facts(spark, sf_dir).subjects()
+
+
+@query("kg_predicates", T + "SELECT DISTINCT p AS predicate FROM t")
+def kg_predicates(spark, sf_dir):
+    return facts(spark, sf_dir).predicates()
+
+
+@query("kg_objects", T + "SELECT DISTINCT o AS object FROM t")
+def kg_objects(spark, sf_dir):
+    return facts(spark, sf_dir).objects()
+
+
+@query("kg_entities", T + "SELECT s AS entity FROM t UNION SELECT o FROM t")
+def kg_entities(spark, sf_dir):
+    return facts(spark, sf_dir).entities()
+
+
+@query("kg_predicate_statistics", T + "SELECT p AS predicate, count(*) AS facts, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM t GROUP BY p")
+def kg_predicate_statistics(spark, sf_dir):
+    return facts(spark, sf_dir).predicate_statistics()
+
+
+@query(
+    "kg_cardinality",
+    T + "SELECT 'all' AS given, count(*) AS n FROM t UNION ALL SELECT 'p', count(*) FROM t WHERE p = 'inNation' "
+    "UNION ALL SELECT 'po', count(*) FROM t WHERE p = 'inNation' AND o = 'nation:3' UNION ALL SELECT 'spo', count(*) FROM t WHERE s = 'customer:7' AND p = 'segment'",
+)
+def kg_cardinality(spark, sf_dir):
+    """With all three given the object is left out of the estimate."""
+    given = {"all": ("", "", ""), "p": ("", "inNation", ""), "po": ("", "inNation", "nation:3"), "spo": ("customer:7", "segment", "no such")}
+    g = facts(spark, sf_dir)
+    counts = g.counts([parse_terms(*t) for t in given.values()])
+    return spark.createDataFrame(list(zip(given, counts, strict=True)), "given string, n long")
+
+
+def parse_terms(s: str, p: str, o: str):
+    from lodestone.plans.patterns import Pattern
+
+    return Pattern(s or "?s", p or "?p", o or "?o")
+
+
+@query("kg_contains", T + "SELECT EXISTS(SELECT 1 FROM t WHERE s = 'nation:3' AND p = 'inRegion' AND o = 'region:1') AS yes, EXISTS(SELECT 1 FROM t WHERE s = 'nation:3' AND p = 'inRegion' AND o = '') AS no")
+def kg_contains(spark, sf_dir):
+    g = facts(spark, sf_dir, {"inRegion"})
+    return spark.createDataFrame([(g.contains("nation:3", "inRegion", "region:1"), g.contains("nation:3", "inRegion", ""))], "yes boolean, no boolean")
+
+
+_NEW = "SELECT 'nation:' || n_nationkey AS s, 'inRegion' AS p, 'region:' || ((n_regionkey + n_nationkey) % 5) AS o FROM nation"
+
+
+def _more_facts(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return n.select(_term("nation", "n_nationkey").alias("subject"), F.lit("inRegion").alias("predicate"), F.concat(F.lit("region:"), ((F.col("n_regionkey") + F.col("n_nationkey")) % 5).cast("string")).alias("object"))
+
+
+@query("kg_insert", T + f"SELECT s AS subject, p AS predicate, o AS object FROM (SELECT * FROM t WHERE p = 'inRegion' UNION {_NEW})")
+def kg_insert(spark, sf_dir):
+    return facts(spark, sf_dir, {"inRegion"}).add_all(_more_facts(spark, sf_dir)).facts
+
+
+@query("kg_insert_new", T + f"SELECT s AS subject, p AS predicate, o AS object FROM ({_NEW} EXCEPT SELECT * FROM t)")
+def kg_insert_new(spark, sf_dir):
+    return facts(spark, sf_dir).new_facts(_more_facts(spark, sf_dir))
+
+
+@query("kg_delete", T + f"SELECT s AS subject, p AS predicate, o AS object FROM (SELECT * FROM t EXCEPT {_NEW})")
+def kg_delete(spark, sf_dir):
+    return facts(spark, sf_dir).remove_all(_more_facts(spark, sf_dir)).facts
+
+
+# ---- text formats
+
+
+@query("nt_export", T + """SELECT '<' || s || '> <' || p || '> "' || o || '" .' AS line FROM t""")
+def nt_export(spark, sf_dir):
+    return formats.nt_export(facts(spark, sf_dir))
+
+
+@query("nt_roundtrip", T + "SELECT 'http://x.org/' || s AS subject, p AS predicate, CASE WHEN o LIKE '%:%' THEN 'http://x.org/' || o ELSE o END AS object FROM t")
+def nt_roundtrip(spark, sf_dir):
+    """Written as lines and read again."""
+    iri = lambda c: F.concat(F.lit("http://x.org/"), c)
+    g = facts(spark, sf_dir).facts.select(iri("subject").alias("subject"), "predicate", F.when(F.contains("object", F.lit(":")), iri("object")).otherwise(F.col("object")).alias("object"))
+    lines = formats.nt_export(FactGraph(g, distinct=True)).select(F.col("line").alias("value"))
+    return formats.nt_lines(lines).where("ok").select("subject", "predicate", "object")
+
+
+@query(
+    "jsonld_nodes",
+    T + """, v AS (SELECT s, p, CASE WHEN count(*) = 1 THEN '"' || min(o) || '"' ELSE '[' || string_agg('"' || o || '"', ', ' ORDER BY o) || ']' END AS x FROM t GROUP BY s, p)
+    SELECT s AS subject, '{"@id": "' || s || '", ' || string_agg('"' || p || '": ' || x, ', ' ORDER BY p) || '}' AS node FROM v GROUP BY s""",
+)
+def jsonld_nodes(spark, sf_dir):
+    return formats.jsonld_nodes(facts(spark, sf_dir))
+
+
+@query("jsonld_facts", T + """SELECT '{"@id":"' || s || '","' || p || '":"' || o || '"}' AS node FROM t""")
+def jsonld_facts(spark, sf_dir):
+    return facts(spark, sf_dir).facts.select(formats.fact_jsonld().alias("node"))
+
+
+@query("ttl_parse", "SELECT 'http://n.org/' || n_nationkey AS subject, 'http://p.org/name' AS predicate, n_name AS object FROM nation")
+def ttl_parse(spark, sf_dir):
+    """Lines of one text with prefixes, as the Turtle reader has them for a file."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    lines = n.select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string"), F.lit(' p:name "'), "n_name", F.lit('" .')).alias("x"))
+    text = lines.agg(F.concat(F.lit("@prefix n: <http://n.org/> .\n@prefix p: <http://p.org/> .\n"), F.array_join(F.collect_list("x"), "\n")).alias("value"))
+
+    def read(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for value in frame["value"]:
+                yield pd.DataFrame(list(formats.parse_turtle(value)), columns=FACT.fieldNames())
+
+    return text.mapInPandas(read, FACT)
+
+
+@query("expand_prefixed", "SELECT 'http://s.org/' || s_suppkey AS iri, 'x:' || s_suppkey AS unknown FROM supplier")
+def expand_prefixed(spark, sf_dir):
+    names = formats.Namespaces({"s": "http://s.org/"})
+    key = F.col("s_suppkey").cast("string")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(names.column(F.concat(F.lit("s:"), key)).alias("iri"), names.column(F.concat(F.lit("<x:"), key, F.lit(">"))).alias("unknown"))
+
+
+# ---- pattern queries
+
+_PATTERNS = {
+    "bgp_region_customers": (
+        "SELECT ?c ?n WHERE { ?c inNation ?n . ?n inRegion region:1 }",
+        "SELECT DISTINCT a.s AS c, a.o AS n FROM t a JOIN t b ON a.o = b.s WHERE a.p = 'inNation' AND b.p = 'inRegion' AND b.o = 'region:1'",
+    ),
+    "bgp_star": (
+        "SELECT ?c ?n WHERE { ?c segment BUILDING . ?c inNation ?n }",
+        "SELECT DISTINCT a.s AS c, b.o AS n FROM t a JOIN t b ON a.s = b.s WHERE a.p = 'segment' AND a.o = 'BUILDING' AND b.p = 'inNation'",
+    ),
+    "bgp_chain5": (
+        "SELECT ?s ?c WHERE { ?s supplies ?p . ?o contains ?p . ?o placedBy ?c . ?s inNation ?n . ?c inNation ?n }",
+        "SELECT DISTINCT a.s AS s, c.o AS c FROM t a JOIN t b ON a.o = b.o JOIN t c ON b.s = c.s JOIN t d ON d.s = a.s JOIN t e ON e.s = c.o AND e.o = d.o "
+        "WHERE a.p = 'supplies' AND b.p = 'contains' AND c.p = 'placedBy' AND d.p = 'inNation' AND e.p = 'inNation'",
+    ),
+    "bgp_predvar": ("SELECT ?p ?o WHERE { customer:7 ?p ?o }", "SELECT DISTINCT p, o FROM t WHERE s = 'customer:7'"),
+    "bgp_samevar": ("SELECT ?x ?p WHERE { ?x ?p ?x }", "SELECT DISTINCT s AS x, p FROM t WHERE s = o"),
+    "bgp_cross": (
+        "SELECT ?a ?b WHERE { ?a inRegion region:1 . ?b inRegion region:2 }",
+        "SELECT DISTINCT a.s AS a, b.s AS b FROM t a, t b WHERE a.p = 'inRegion' AND a.o = 'region:1' AND b.p = 'inRegion' AND b.o = 'region:2'",
+    ),
+    "bgp_exists": (
+        "SELECT ?n WHERE { ?n inRegion region:1 . customer:7 inNation ?m . nation:0 inRegion region:0 }",
+        "SELECT DISTINCT a.s AS n FROM t a WHERE a.p = 'inRegion' AND a.o = 'region:1' AND EXISTS (SELECT 1 FROM t WHERE s = 'customer:7' AND p = 'inNation') "
+        "AND EXISTS (SELECT 1 FROM t WHERE s = 'nation:0' AND p = 'inRegion' AND o = 'region:0')",
+    ),
+    "bgp_projection": ("SELECT ?n ?nosuch WHERE { ?c inNation ?n }", "SELECT DISTINCT o AS n FROM t WHERE p = 'inNation'"),
+    "bgp_limit_offset": (
+        "SELECT ?c ?n WHERE { ?c inNation ?n } LIMIT 20 OFFSET 5",
+        "SELECT DISTINCT s AS c, o AS n FROM t WHERE p = 'inNation' ORDER BY c, n LIMIT 20 OFFSET 5",
+    ),
+    "bgp_limit0": ("SELECT ?c WHERE { ?c inNation nation:3 } LIMIT 0", "SELECT DISTINCT s AS c FROM t WHERE p = 'inNation' AND o = 'nation:3'"),
+    "bgp_cycle": (
+        "SELECT ?a ?b WHERE { ?a buysFrom ?b . ?b buysFrom ?c . ?c buysFrom ?a }",
+        "SELECT DISTINCT x.s AS a, x.o AS b FROM e x JOIN e y ON x.o = y.s JOIN e z ON y.o = z.s AND z.o = x.s",
+    ),
+}
+
+E = (
+    "WITH RECURSIVE e AS (SELECT DISTINCT 'nation:' || c_nationkey AS s, 'buysFrom' AS p, 'nation:' || s_nationkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+    "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0.1) "
+)
+
+
+def trade(spark: SparkSession, sf_dir: str) -> FactGraph:
+    """Customer nation buysFrom supplier nation, for large discounted items: a graph with cycles."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    rows = read("lineitem").where("l_quantity = 50 AND l_discount = 0.1").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return FactGraph(rows.select(_term("nation", "c_nationkey").alias("subject"), F.lit("buysFrom").alias("predicate"), _term("nation", "s_nationkey").alias("object")))
+
+
+for _name, (_text, _sql) in _PATTERNS.items():
+
+    @query(_name, (E if _name == "bgp_cycle" else T) + _sql)
+    def bgp(spark, sf_dir, text=_text, graph=trade if _name == "bgp_cycle" else facts):
+        return graph(spark, sf_dir).query(text)
+
+
+@query(
+    "plan_estimates",
+    T + """, c AS (SELECT '?s supplies ?p' AS pattern, count(*) AS cardinality FROM t WHERE p = 'supplies' UNION ALL SELECT '?c inNation ?n', count(*) FROM t WHERE p = 'inNation'
+    UNION ALL SELECT '?s inNation ?n', count(*) FROM t WHERE p = 'inNation' UNION ALL SELECT '?n inRegion region:1', count(*) FROM t WHERE p = 'inRegion' AND o = 'region:1')
+    SELECT CASE pattern WHEN '?n inRegion region:1' THEN 0 WHEN '?c inNation ?n' THEN 1 WHEN '?s inNation ?n' THEN 2 ELSE 3 END AS step, pattern, cardinality,
+    cardinality / (SELECT count(*) FROM t) AS selectivity, CAST((SELECT sum(cardinality) FROM c) AS DOUBLE) AS cost FROM c""",
+)
+def plan_estimates(spark, sf_dir):
+    return facts(spark, sf_dir).plan(parse("SELECT ?c WHERE { ?s supplies ?p . ?c inNation ?n . ?s inNation ?n . ?n inRegion region:1 }"))
+
+
+# ---- paths
+
+
+def _hops(source: str, depth: int, extra: str = "") -> str:
+    return f", h(node, d) AS (SELECT CAST('{source}' AS VARCHAR), 0 UNION SELECT g.o, d + 1 FROM h JOIN g ON g.s = h.node WHERE d < {depth}{extra}) "
+
+
+_WALK = {"placedBy", "contains", "inNation", "inRegion"}
+_WALK_SQL = T + ", g AS (SELECT s, o FROM t WHERE p IN ('placedBy', 'contains', 'inNation', 'inRegion'))"
+
+
+@query("hop_k", _WALK_SQL + _hops("order:10", 3) + "SELECT node, CAST(min(d) AS INT) AS distance FROM h WHERE node <> 'order:10' GROUP BY node")
+def hop_k(spark, sf_dir):
+    return paths.within(facts(spark, sf_dir, _WALK), "order:10", 3)
+
+
+@query("hop_k_relations", T + ", g AS (SELECT s, o FROM t WHERE p = 'placedBy' OR p = 'inNation')" + _hops("order:10", 2) + "SELECT DISTINCT node FROM h WHERE node <> 'order:10'")
+def hop_k_relations(spark, sf_dir):
+    return paths.neighbours(facts(spark, sf_dir), "order:10", 2, {"placedBy", "inNation"})
+
+
+@query("hop_k_cycle", E + ", g AS (SELECT s, o FROM e)" + _hops("nation:3", 4) + "SELECT node, CAST(min(d) AS INT) AS distance FROM h WHERE node <> 'nation:3' GROUP BY node")
+def hop_k_cycle(spark, sf_dir):
+    return paths.within(trade(spark, sf_dir), "nation:3", 4)
+
+
+@query(
+    "reachable",
+    E + ", g AS (SELECT s, o FROM e)" + _hops("nation:3", 10) + ", n AS (SELECT 'nation:7' AS target UNION ALL SELECT 'nation:20' UNION ALL SELECT 'nowhere') SELECT target, target IN (SELECT node FROM h) AS reachable FROM n",
+)
+def reachable(spark, sf_dir):
+    g = trade(spark, sf_dir)
+    return spark.createDataFrame([(x, paths.reachable(g, "nation:3", x)) for x in ("nation:7", "nation:20", "nowhere")], "target string, reachable boolean")
+
+
+@query("shortest_length", E + ", g AS (SELECT s, o FROM e)" + _hops("nation:3", 6) + "SELECT 'nation:3' AS source, 'nation:7' AS target, CAST(coalesce(min(d), -1) AS INT) AS length FROM h WHERE node = 'nation:7'")
+def shortest_length(spark, sf_dir):
+    return paths.shortest_path(trade(spark, sf_dir), "nation:3", "nation:7", 6).select("source", "target", "length")
+
+
+@query(
+    "shortest_undirected",
+    T + ", g AS (SELECT s, o FROM t WHERE p IN ('inNation', 'placedBy', 'contains', 'supplies') UNION SELECT o, s FROM t WHERE p IN ('inNation', 'placedBy', 'contains', 'supplies'))"
+    + _hops("customer:7", 3) + "SELECT CAST(coalesce(min(d), -1) AS INT) AS length FROM h WHERE node = 'supplier:3'",
+)
+def shortest_undirected(spark, sf_dir):
+    g = facts(spark, sf_dir)
+    return paths.shortest_path(g, "customer:7", "supplier:3", 3, {"inNation", "placedBy", "contains", "supplies"}, directed=False).select("length")
+
+
+@query(
+    "simple_paths",
+    E + ", w(node, seen, n) AS (SELECT CAST('nation:3' AS VARCHAR), ['nation:3'], 0 UNION ALL SELECT e.o, list_append(seen, e.o), n + 1 FROM w JOIN e ON e.s = w.node "
+    "WHERE n < 4 AND NOT list_contains(seen, e.o) AND w.node <> 'nation:7') SELECT array_to_string(seen, '>') AS nodes, CAST(n AS INT) AS length FROM w WHERE node = 'nation:7'",
+)
+def simple_paths(spark, sf_dir):
+    found = paths.simple_paths(trade(spark, sf_dir), "nation:3", "nation:7", 4)
+    nodes = F.concat_ws(">", F.col("path")[0]["src"], F.array_join(F.transform("path", lambda h: h["dst"]), ">"))
+    return found.select(nodes.alias("nodes"), "length")
+
+
+# ---- records: tokens, signatures, candidates, matches, clusters
+
+
+def _documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("record_id"), "text")
+
+
+_WORDS = "SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents"
+
+
+@query("record_tokens", f"SELECT doc_id AS record_id, count(*) AS tokens FROM ({_WORDS}) WHERE w <> '' GROUP BY doc_id")
+def record_tokens(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return docs.select("record_id", F.size(blocking.record_tokens(docs)).cast("long").alias("tokens")).where("tokens > 0")
+
+
+def _signature_sql(n: int) -> str:
+    a, b = blocking.hash_family(n)
+    rows = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(zip(a, b, strict=True)))
+    word = lambda k: f"CAST(concat('0x', substr(md5(w), {8 * k + 1}, 8)) AS BIGINT)"
+    return (
+        f"WITH f(i, a, b) AS (VALUES {rows}), d AS ({_WORDS}), v AS (SELECT DISTINCT w FROM d WHERE w <> ''), "
+        f"h AS (SELECT w, (8 * {word(0)} + 4 * {word(1)} + 2 * {word(2)} + {word(3)}) % 2147483647 AS h FROM v), "
+        "m AS (SELECT doc_id, i, min((CAST(a AS BIGINT) * h + b) % 2147483647) AS x FROM d JOIN h USING (w) CROSS JOIN f GROUP BY doc_id, i) "
+    )
+
+
+@query("minhash_signatures", _signature_sql(20) + "SELECT doc_id AS record_id, string_agg(x, ',' ORDER BY i) AS signature FROM m GROUP BY doc_id")
+def minhash_signatures(spark, sf_dir):
+    return blocking.signatures(_documents(spark, sf_dir), 20).where("signature[0] > 0 or signature[1] > 0").select("record_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query(
+    "lsh_pairs",
+    _signature_sql(100) + ", k AS (SELECT doc_id, i // 5 AS band, string_agg(x, ',' ORDER BY i) AS key FROM m GROUP BY doc_id, i // 5) "
+    "SELECT DISTINCT a.doc_id AS id1, b.doc_id AS id2 FROM k a JOIN k b ON a.band = b.band AND a.key = b.key AND a.doc_id < b.doc_id",
+)
+def lsh_pairs(spark, sf_dir):
+    return blocking.lsh_pairs(_documents(spark, sf_dir), 100, 20)
+
+
+_CUSTOMERS = "(SELECT c_custkey AS id, c_name AS name, c_mktsegment AS city, lower(c_mktsegment || ' ' || c_name) AS k FROM customer)"
+_NEAR = f"SELECT id, name, city, row_number() OVER (ORDER BY k, id) AS n FROM {_CUSTOMERS}"
+
+
+def _customers(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"))
+
+
+def _near(spark, sf_dir):
+    records = _customers(spark, sf_dir)
+    return records, blocking.neighbourhood_pairs(records, 5, F.lower(F.concat_ws(" ", "city", "name")))
+
+
+@query("neighbourhood_pairs", f"WITH o AS ({_NEAR}) SELECT least(a.id, b.id) AS id1, greatest(a.id, b.id) AS id2 FROM o a JOIN o b ON b.n > a.n AND b.n - a.n < 5")
+def neighbourhood_pairs(spark, sf_dir):
+    return _near(spark, sf_dir)[1]
+
+
+_PAIRED = f"WITH RECURSIVE o AS ({_NEAR}), c AS (SELECT a.id AS i, b.id AS j, a.name AS x, b.name AS y, a.city AS u, b.city AS v FROM o a JOIN o b ON b.n > a.n AND b.n - a.n < 5), "
+_SIMILAR = (
+    "s AS (SELECT least(i, j) AS id1, greatest(i, j) AS id2, 1 - levenshtein(x, y) / greatest(length(x), length(y)) AS name_score, CASE WHEN lower(u) = lower(v) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS city_score FROM c), "
+    "m AS (SELECT *, 0.6 * name_score + 0.4 * city_score AS similarity FROM s)"
+)
+
+
+@query("match_candidates", _PAIRED + _SIMILAR + " SELECT id1, id2, round(similarity, 6) AS similarity, round(name_score, 6) AS name_score, city_score FROM m WHERE similarity >= 0.93")
+def match_candidates(spark, sf_dir):
+    """Scores in the table are multiples of 1/45 plus 0.4 or 0, so that 0.93 isn't one."""
+    records, pairs = _near(spark, sf_dir)
+    found = matching.Matcher(threshold=0.93).match(records, pairs)
+    return found.select("id1", "id2", F.round("similarity", 6).alias("similarity"), F.round(F.col("field_scores")["name"], 6).alias("name_score"), F.col("field_scores")["city"].alias("city_score"))
+
+
+_CLUSTERED = (
+    _PAIRED + _SIMILAR + ", g AS (SELECT id1 AS a, id2 AS b FROM m WHERE similarity >= 0.965 UNION SELECT id2, id1 FROM m WHERE similarity >= 0.965), "
+    "r(a, b) AS (SELECT id, id FROM o UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), l AS (SELECT a AS record_id, min(b) AS canonical_id FROM r GROUP BY a) "
+)
+
+
+@query("er_clusters", _CLUSTERED + "SELECT canonical_id, string_agg(record_id, ',' ORDER BY record_id) AS members FROM l GROUP BY canonical_id")
+def er_clusters(spark, sf_dir):
+    return _clusters(spark, sf_dir).select("canonical_id", F.array_join(F.col("member_ids").cast("array<string>"), ",").alias("members"))
+
+
+def _clusters(spark, sf_dir):
+    records, pairs = _near(spark, sf_dir)
+    labels = matching.cluster_labels(records, matching.Matcher(threshold=0.965).match(records, pairs))
+    return labels.groupBy("canonical_id").agg(F.sort_array(F.collect_list("record_id")).alias("member_ids"))
+
+
+@query(
+    "er_statistics",
+    _CLUSTERED + ", z AS (SELECT count(*) AS n FROM l GROUP BY canonical_id) SELECT count(*) AS total_clusters, count(*) FILTER (n = 1) AS singletons, coalesce(max(n), 0) AS max_cluster_size, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_records FROM z",
+)
+def er_statistics(spark, sf_dir):
+    return matching.link_statistics(_clusters(spark, sf_dir))
+
+
+@query(
+    "similarities",
+    """SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INT) AS distance, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS normalised,
+    round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard
+    FROM (SELECT *, list_distinct(string_split_regex(lower(p_name), '\\s+')) AS x, list_distinct(string_split_regex(lower(p_name || ' ' || p_type), '\\s+')) AS y FROM part)""",
+)
+def similarities(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", S.levenshtein("p_name", "p_type").alias("distance"), F.round(S.normalised_levenshtein("p_name", "p_type"), 6).alias("normalised"), F.round(S.token_jaccard("p_name", F.concat_ws(" ", "p_name", "p_type")), 6).alias("jaccard"))
+
+
+# ---- embeddings: entities are the rows of the table, relations its ten smallest ids
+
+
+def transe(spark, sf_dir, norm: int = 2):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return embeddings.TransE(v, v.where("id < 10"), embeddings.TransEConfig(dim=64, norm=norm))
+
+
+def rotate(spark, sf_dir):
+    v = transe(spark, sf_dir).entities.select("id", F.slice("vec", 1, 32).alias("re"), F.slice("vec", 33, 32).alias("im"))
+    m = embeddings.RotatE(v, v.where("id < 10"), embeddings.RotatEConfig(dim=32))
+    m.relations = m.project_relations()
+    return m
+
+
+def _triples(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200")
+    return v.select(F.col("vec_id").cast("int").alias("h"), (F.col("vec_id") % 10).cast("int").alias("r"), ((F.col("vec_id") * 7 + 3) % 500).cast("int").alias("t"))
+
+
+_V = "WITH v AS (SELECT CAST(vec_id AS INT) AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), q AS (SELECT CAST(vec_id AS INT) AS h, CAST(vec_id % 10 AS INT) AS r, CAST((vec_id * 7 + 3) % 500 AS INT) AS t FROM embeddings WHERE vec_id < 200), "
+_DIFF = "list_transform(range(1, 65), lambda i: a.vec[i] + b.vec[i] - c.vec[i])"
+_L1, _L2 = (f"-{x}" for x in (f"list_sum(list_transform({_DIFF}, lambda x: abs(x)))", f"sqrt(list_sum(list_transform({_DIFF}, lambda x: x * x)))"))
+_FROM = " FROM q JOIN v a ON a.id = q.h JOIN v b ON b.id = q.r JOIN v c ON c.id = q.t"
+_ROT = (
+    "z AS (SELECT id, vec[1:32] AS re, vec[33:64] AS im FROM v), y AS (SELECT id, list_transform(range(1, 33), lambda i: re[i] / greatest(sqrt(re[i] * re[i] + im[i] * im[i]), 1e-8)) AS re, "
+    "list_transform(range(1, 33), lambda i: im[i] / greatest(sqrt(re[i] * re[i] + im[i] * im[i]), 1e-8)) AS im FROM z WHERE id < 10) "
+)
+_ROT_SCORE = "-sqrt(list_sum(list_transform(range(1, 33), lambda i: power(a.re[i] * b.re[i] - a.im[i] * b.im[i] - c.re[i], 2) + power(a.re[i] * b.im[i] + a.im[i] * b.re[i] - c.im[i], 2))))"
+
+
+@query("transe_score_l2", _V[:-2] + f" SELECT h, r, t, round({_L2}, 6) AS score" + _FROM)
+def transe_score_l2(spark, sf_dir):
+    return embeddings.score(transe(spark, sf_dir), _triples(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("transe_score_l1", _V[:-2] + f" SELECT h, r, t, round({_L1}, 6) AS score" + _FROM)
+def transe_score_l1(spark, sf_dir):
+    return embeddings.score(transe(spark, sf_dir, 1), _triples(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("rotate_score", _V + _ROT + f"SELECT h, r, t, round({_ROT_SCORE}, 6) AS score FROM q JOIN z a ON a.id = q.h JOIN y b ON b.id = q.r JOIN z c ON c.id = q.t")
+def rotate_score(spark, sf_dir):
+    return embeddings.score(rotate(spark, sf_dir), _triples(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("relation_phases", _V + _ROT + "SELECT id, CAST(i AS INT) AS place, round(atan2(im[i], re[i]), 6) AS phase FROM y, range(1, 33) g(i)")
+def relation_phases(spark, sf_dir):
+    return rotate(spark, sf_dir).relation_phases().select("id", F.posexplode("phase").alias("place", "phase")).select("id", (F.col("place") + 1).alias("place"), F.round("phase", 6).alias("phase"))
+
+
+@query("normalise", _V[:-2] + " SELECT id, CAST(i AS INT) AS place, round(vec[i] / greatest(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 1e-8), 6) AS x FROM v, range(1, 65) g(i)")
+def normalise(spark, sf_dir):
+    e = transe(spark, sf_dir).normalise_entities()
+    return e.select("id", F.posexplode("vec").alias("place", "x")).select("id", (F.col("place") + 1).alias("place"), F.round("x", 6).alias("x"))
+
+
+@query("project_unit", _V + _ROT + "SELECT id, CAST(i AS INT) AS place, round(re[i], 6) AS re, round(im[i], 6) AS im FROM y, range(1, 33) g(i)")
+def project_unit(spark, sf_dir):
+    rel = rotate(spark, sf_dir).relations.select("id", F.posexplode(F.arrays_zip("re", "im")).alias("place", "x"))
+    return rel.select("id", (F.col("place") + 1).alias("place"), F.round("x.re", 6).alias("re"), F.round("x.im", 6).alias("im"))
+
+
+def _predict_sql(scored: str, prefix: str, ties: str, k: int) -> str:
+    return _V[:-2] + f" SELECT id, '{prefix}' || id AS name, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id {ties}) AS INT) AS rank FROM ({scored}) ORDER BY score DESC, id {ties} LIMIT {k}"
+
+
+@query("predict_tail", _predict_sql(f"SELECT c.id, {_L2} AS score FROM v a, v b, v c WHERE a.id = 17 AND b.id = 3", "entity_", "DESC", 10))
+def predict_tail(spark, sf_dir):
+    return embeddings.predict_tail(transe(spark, sf_dir), 17, 3).withColumn("score", F.round("score", 6))
+
+
+@query("predict_head", _predict_sql(f"SELECT a.id, {_L2} AS score FROM v a, v b, v c WHERE b.id = 3 AND c.id = 42", "entity_", "DESC", 10))
+def predict_head(spark, sf_dir):
+    return embeddings.predict_head(transe(spark, sf_dir), 3, 42).withColumn("score", F.round("score", 6))
+
+
+@query("predict_relation", _predict_sql(f"SELECT b.id, {_L2} AS score FROM v a, v b, v c WHERE a.id = 17 AND c.id = 42 AND b.id < 10", "rel_", "ASC", 5))
+def predict_relation(spark, sf_dir):
+    return embeddings.predict_relation(transe(spark, sf_dir), 17, 42).withColumn("score", F.round("score", 6))
+
+
+_RANKS = _V + f"s AS (SELECT h, r, t, c.id AS e, {_L2} AS score FROM q JOIN v a ON a.id = q.h JOIN v b ON b.id = q.r, v c), k AS (SELECT x.h, x.r, x.t, greatest(count(*) FILTER (y.score >= x.score), 1) AS rank FROM s x JOIN s y ON x.h = y.h AND x.r = y.r AND x.t = y.t WHERE x.e = x.t GROUP BY x.h, x.r, x.t) "
+
+
+@query("evaluate_ranks", _RANKS + "SELECT h, r, t, rank FROM k")
+def evaluate_ranks(spark, sf_dir):
+    return embeddings.ranks(transe(spark, sf_dir), _triples(spark, sf_dir))
+
+
+@query("evaluate_metrics", _RANKS + "SELECT round(avg(1.0 / rank), 9) AS mrr, avg((rank <= 1)::INT) AS hits_at_1, avg((rank <= 3)::INT) AS hits_at_3, avg((rank <= 10)::INT) AS hits_at_10 FROM k")
+def evaluate_metrics(spark, sf_dir):
+    return embeddings.evaluate(transe(spark, sf_dir), _triples(spark, sf_dir)).withColumn("mrr", F.round("mrr", 9))
+
+
+@query("transe_step", _V + f"""n AS (SELECT h, r, t, h AS nh, (t * 7 + 3) % 500 AS nt FROM q),
+    x AS (SELECT n.*, list_transform(range(1, 65), lambda i: a.vec[i] + b.vec[i] - c.vec[i]) AS good, list_transform(range(1, 65), lambda i: d.vec[i] + b.vec[i] - f.vec[i]) AS bad
+      FROM n JOIN v a ON a.id = h JOIN v b ON b.id = r JOIN v c ON c.id = t JOIN v d ON d.id = nh JOIN v f ON f.id = nt),
+    k AS (SELECT * FROM x WHERE 1.0 + sqrt(list_sum(list_transform(good, lambda y: y * y))) - sqrt(list_sum(list_transform(bad, lambda y: y * y))) > 0),
+    m AS (SELECT h AS id, i, -0.02 * good[i] AS d FROM k, range(1, 65) g(i) UNION ALL SELECT t, i, 0.02 * good[i] FROM k, range(1, 65) g(i)
+      UNION ALL SELECT nh, i, 0.02 * bad[i] FROM k, range(1, 65) g(i) UNION ALL SELECT nt, i, -0.02 * bad[i] FROM k, range(1, 65) g(i)),
+    u AS (SELECT v.id, g.i, vec[g.i] + coalesce(sum(d), 0) AS x FROM v CROSS JOIN range(1, 65) g(i) LEFT JOIN m ON m.id = v.id AND m.i = g.i GROUP BY v.id, g.i, vec)
+    SELECT id, CAST(i AS INT) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM u""")
+def transe_step(spark, sf_dir):
+    """One training step with fixed negatives: the entities after it."""
+    batch = _triples(spark, sf_dir).withColumn("nh", F.col("h")).withColumn("nt", ((F.col("t") * 7 + 3) % 500).cast("int"))
+    model, _ = transe(spark, sf_dir).step(batch)
+    return model.entities.select("id", F.posexplode("vec").alias("place", "x")).select("id", (F.col("place") + 1).alias("place"), F.round("x", 6).alias("x"))
+
+
+@query("rotate_step")
+def rotate_step(spark, sf_dir):
+    batch = _triples(spark, sf_dir).withColumn("nh", F.col("h")).withColumn("nt", ((F.col("t") * 7 + 3) % 500).cast("int"))
+    return rotate(spark, sf_dir).step(batch)[0].entities
+
+
+@query("negative_sample")
+def negative_sample(spark, sf_dir):
+    return embeddings.corrupt(_triples(spark, sf_dir), 500)
+
+
+@query("train_transe")
+def train_transe(spark, sf_dir):
+    """Losses of a short training, by epoch."""
+    model = embeddings.TransE.initial(spark, 500, 10, embeddings.TransEConfig(dim=16))
+    _, result = embeddings.train(model, _triples(spark, sf_dir), 500, embeddings.TrainerConfig(epochs=2, batch_size=100))
+    return spark.createDataFrame(list(enumerate(result.losses)), "epoch int, loss double")
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
