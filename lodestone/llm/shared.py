@@ -177,16 +177,41 @@ def probe(left: DataFrame, index: DataFrame, hot: dict[int, int], n: int, by: st
     return left.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look, schema)
 
 
-def pick_shared(left: pa.Table, index: pa.Table) -> pa.Table:
-    """A row for each document with its keys that are in the index: row, keys."""
-    keys, rows = unpack(left, "keys", np.uint64), unpack(left, "rows", np.int64)
-    hit = is_in(keys, unpack(index, "shared", np.uint64))
-    keys, rows = keys[hit], rows[hit]
-    order = np.argsort(rows, kind="stable")
-    keys, rows = keys[order], rows[order]
-    edges = np.append(np.flatnonzero(np.append(True, rows[1:] != rows[:-1])), len(rows)) if len(rows) else np.zeros(1, int)
-    parts = [keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.table({"row": pa.array(rows[edges[:-1]], pa.int64()), "keys": pa.array(parts, pa.binary())})
+def pick_shared(n: int):
+    """For probe(): the entries (keys, rows) whose key is in the index, packed by a hash of the row for ``gather``."""
+
+    def look(left: pa.Table, index: pa.Table) -> pa.Table:
+        keys, rows = unpack(left, "keys", np.uint64), unpack(left, "rows", np.int64)
+        hit = is_in(keys, unpack(index, "shared", np.uint64))
+        return packed_rows(rows[hit], n, {"keys": keys[hit]})
+
+    return look
+
+
+def packed_rows(rows: np.ndarray, n: int, values: dict[str, np.ndarray]) -> pa.Table:
+    return pa.Table.from_batches([by_bucket(mix(rows.astype(np.uint64)), n, {"rows": rows} | values)])
+
+
+def gather(packed: DataFrame, kinds: dict[str, type]) -> DataFrame:
+    """From packed_rows(): for each row the values of all its entries, as bytes."""
+
+    def collect(table: pa.Table) -> pa.Table:
+        rows = unpack(table, "rows", np.int64)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        edges = np.append(np.flatnonzero(np.append(True, rows[1:] != rows[:-1])), len(rows)) if len(rows) else np.zeros(1, int)
+        out = {"row": pa.array(rows[edges[:-1]], pa.int64())}
+        for name, kind in kinds.items():
+            size, raw = np.dtype(kind).itemsize, unpack(table, name, kind)[order].tobytes()
+            ends = (edges * size).tolist()
+            out[name] = pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.table(out)
+
+    return packed.groupBy("bucket").applyInArrow(collect, "row long, " + ", ".join(f"{c} binary" for c in kinds))
+
+
+def packed_schema(*names: str) -> str:
+    return "bucket int, rows binary, " + ", ".join(f"{c} binary" for c in names)
 
 
 def once(key: np.ndarray, owner: np.ndarray) -> np.ndarray:

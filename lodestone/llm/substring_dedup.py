@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import (
-    WordHashes, by_bucket, chunks, column_bytes, gram_hashes, hashed_words, hot_buckets, is_in, mix, n_buckets, order_id, packed_once, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack,
+    WordHashes, by_bucket, chunks, column_bytes, gather, gram_hashes, hashed_words, hot_buckets, is_in, mix, n_buckets, order_id, packed_once, packed_rows, packed_schema, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack,
 )
 
 WORDS, SEED_WORDS = 13, 6
@@ -81,8 +81,8 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
 
     shared = repeated_keys(docs.select("text").mapInArrow(lambda it: seeds(it, False), "bucket int, keys binary, entries long"))
     mine = docs.select("row", "text").mapInArrow(lambda it: seeds(it, True), "bucket int, keys binary, rows binary")
-    mine = probe(mine, shared, hot_buckets(shared), n, "rows", pick_shared, "row long, keys binary")
-    mine = settle(mine.groupBy("row").agg(F.collect_list("keys").alias("seeds")))
+    mine = probe(mine, shared, hot_buckets(shared), n, "rows", pick_shared(n), packed_schema("keys"))
+    mine = settle(gather(mine, {"keys": np.uint64}))
     release(shared)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
         for chunk in chunks(batches):
             h, ends = hashed_words(column_bytes(chunk), cache)
             at, doc, least = run_seeds(h, ends, words, seed)
-            wanted = [np.frombuffer(b"".join(x), np.uint64) for x in chunk.column("seeds").to_pylist()]
+            wanted = [np.frombuffer(x, np.uint64) for x in chunk.column("keys").to_pylist()]
             # a document's own seeds, told apart from other documents' by its number
             tag = mix(np.arange(len(wanted), dtype=np.uint64) + np.uint64(1))
             table = np.sort(np.concatenate([x ^ t for x, t in zip(wanted, tag, strict=True)]))
@@ -101,7 +101,7 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
             starts = ends - np.diff(ends, prepend=0)
             yield _packed_runs(run, at - starts[doc], doc, chunk, n)
 
-    found = settle(docs.join(mine, "row").select("row", "ord", "text", "seeds").mapInArrow(runs, "bucket int, runs binary, at binary, counts binary, rows binary, ords binary"))
+    found = settle(docs.join(mine, "row").select("row", "ord", "text", "keys").mapInArrow(runs, "bucket int, runs binary, at binary, counts binary, rows binary, ords binary"))
     release(mine)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,24 +136,21 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
         place = np.minimum(np.searchsorted(table, run), max(len(table) - 1, 0))
         owner = np.repeat(np.arange(len(counts)), counts)
         hit = np.flatnonzero((table[place] == run) & (lo[place] < unpack(left, "ords", np.int64)[owner])) if len(table) else np.zeros(0, int)
-        new = changes(owner[hit])
-        rows, edges = unpack(left, "rows", np.int64)[owner[hit[new]]], np.append(new, len(hit))
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-        return pa.table({"row": pa.array(rows, pa.int64()), "at": cut(at[hit]), "source": cut(lo[place[hit]])})
+        return packed_rows(unpack(left, "rows", np.int64)[owner[hit]], n, {"at": at[hit], "source": lo[place[hit]]})
 
     matched = found.select("bucket", "runs", "at", "counts", "rows", "ords")
-    matched = probe(matched, index, hot_buckets(index), n, "rows", look_up, "row long, at binary, source binary").groupBy("row")
-    matched = settle(matched.agg(F.collect_list(F.struct("at", "source")).alias("hits")))
+    matched = probe(matched, index, hot_buckets(index), n, "rows", look_up, packed_schema("at", "source"))
+    matched = settle(gather(matched, {"at": np.uint32, "source": np.int64}))
     release(found, index)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             out = []
-            for raw, hits in zip(column_bytes(chunk), chunk.column("hits").to_pylist(), strict=True):
+            for raw, places, sources in zip(column_bytes(chunk), chunk.column("at").to_pylist(), chunk.column("source").to_pylist(), strict=True):
                 own = raw.split() if raw else []
                 total, parts = len(own), 0
-                if hits:
-                    at, source = (np.frombuffer(b"".join(x[c] for x in hits), t) for c, t in (("at", np.uint32), ("source", np.int64)))
+                if places:
+                    at, source = np.frombuffer(places, np.uint32), np.frombuffer(sources, np.int64)
                     order = np.unique(at, return_index=True)[1]
                     begin, end = factors(at[order].astype(np.int64), source[order], words)
                     parts = len(begin)
@@ -169,7 +166,7 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
                 [chunk.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_words", "n_removed", "n_factors", "kept"]
             )
 
-    whole = docs.select("doc_id", "row", "text").join(matched, "row", "left").select("doc_id", "text", "hits")
+    whole = docs.select("doc_id", "row", "text").join(matched, "row", "left").select("doc_id", "text", "at", "source")
     return whole.mapInArrow(parse, "doc_id long, n_words long, n_removed long, n_factors long, kept binary")
 
 

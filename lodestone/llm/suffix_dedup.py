@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import by_bucket, chunks, column_bytes, hot_buckets, is_in, mix, n_buckets, packed_once, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack
+from lodestone.llm.shared import by_bucket, chunks, column_bytes, gather, hot_buckets, is_in, mix, n_buckets, packed_once, packed_rows, packed_schema, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack
 
 LEAST, SEED = 400, 32
 SCAN_BYTES, SORT_BYTES = 1 << 20, 1 << 20
@@ -203,8 +203,8 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     shared = repeated_keys(docs.select("text").mapInArrow(lambda it: seeds(it, False), "bucket int, keys binary, entries long"))
     mine = docs.select("row", "text").mapInArrow(lambda it: seeds(it, True), "bucket int, keys binary, rows binary")
     hot = hot_buckets(shared)
-    mine = probe(mine, shared, hot, n, "rows", pick_shared, "row long, keys binary")
-    mine = settle(mine.groupBy("row").agg(F.collect_list("keys").alias("seeds")))
+    mine = probe(mine, shared, hot, n, "rows", pick_shared(n), packed_schema("keys"))
+    mine = settle(gather(mine, {"keys": np.uint64}))
     release(shared)
     names = ["bucket", "keys", "hashes", "again", "sizes", "bytes", "refs", "rows", "starts"]
 
@@ -212,7 +212,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         """For each chunk and bucket: the distinct segments of wanted minimisers, and where segments stand."""
         for chunk in chunks(batches, most=SCAN_BYTES):
             scan = Scan(column_bytes(chunk), least)
-            wanted = [np.frombuffer(b"".join(x), np.uint64) for x in chunk.column("seeds").to_pylist()]
+            wanted = [np.frombuffer(x, np.uint64) for x in chunk.column("keys").to_pylist()]
             tag = mix(np.arange(len(wanted), dtype=np.uint64) + np.uint64(1))
             table = np.sort(np.concatenate([x ^ t for x, t in zip(wanted, tag, strict=True)]))
             at = np.flatnonzero(is_in(scan.key ^ tag[scan.doc], table)) if len(scan.key) else np.zeros(0, int)
@@ -238,7 +238,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     [pa.array([int(bucket[a])], pa.int32()), *(pa.array([v if isinstance(v, bytes) else v.tobytes()], pa.binary()) for v in values)], names=names
                 )
 
-    found = docs.join(mine, "row").select("row", "text", "seeds")
+    found = docs.join(mine, "row").select("row", "text", "keys")
     found = settle(found.mapInArrow(cut, "bucket int, " + ", ".join(f"{c} binary" for c in names[1:])))
     release(mine)
 
@@ -291,27 +291,22 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         each = np.repeat(np.arange(len(hit)), counts[own])
         j = np.arange(len(each)) + np.repeat((np.cumsum(counts) - counts)[own] - (np.cumsum(counts[own]) - counts[own]), counts[own])
         first, last = (unpack(right, c, np.int32)[j] + starts[hit[each]] for c in ("first", "last"))
-        row = rows[hit[each]]
-        order = np.argsort(row, kind="stable")
-        row, first, last = row[order], first[order].astype(np.int64), last[order].astype(np.int64)
-        edges = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, int)
-        cols = [pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in (first, last)]
-        return pa.table({"row": pa.array(row[edges[:-1]], pa.int64()), "first": cols[0], "last": cols[1]})
-
-    spans = probe(found.select("bucket", "refs", "rows", "starts"), built, hot, n, "rows", place, "row long, first binary, last binary")
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+        return packed_rows(rows[hit[each]], n, {"first": first.astype(np.int64), "last": last.astype(np.int64)})
+
+    spans = probe(found.select("bucket", "refs", "rows", "starts"), built, hot, n, "rows", place, packed_schema("first", "last"))
+    spans = gather(spans, {"first": np.int64, "last": np.int64})
     spans = settle(spans)
     release(found, built)
 
     def strip(batches):
         for chunk in chunks(batches):
             out = []
-            for raw, got in zip(column_bytes(chunk), chunk.column("spans").to_pylist(), strict=True):
+            for raw, firsts, lasts in zip(column_bytes(chunk), chunk.column("first").to_pylist(), chunk.column("last").to_pylist(), strict=True):
                 raw = raw or b""
-                if not got:
+                if not firsts:
                     out.append((len(raw), 0, 0, raw))
                     continue
-                first, last = (np.frombuffer(b"".join(x[c] for x in got), np.int64) for c in ("first", "last"))
+                first, last = np.frombuffer(firsts, np.int64), np.frombuffer(lasts, np.int64)
                 order = np.argsort(first, kind="stable")
                 kept, reach, gone, runs = [], 0, 0, 0
                 begun = False
@@ -327,7 +322,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    whole = docs.select("doc_id", "row", "text").join(spans, "row", "left").select("doc_id", "text", "spans")
+    whole = docs.select("doc_id", "row", "text").join(spans, "row", "left").select("doc_id", "text", "first", "last")
     return whole.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
