@@ -106,10 +106,12 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Chosen positions among the ascending cuts ``at`` (0 not among them), the last included; gaps must not exceed window."""
+def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, open_end: bool = False) -> list[int]:
+    """Chosen positions among the ascending cuts ``at`` (0 not among them), the last included; gaps must not exceed window.
+
+    open_end: the last sequence goes on or is cut again, so that its padding doesn't count."""
     pos, pen = at.tolist(), penalty.tolist()
-    came = [-1] * len(pos)
+    came, costs = [-1] * len(pos), []
     queue = deque([(0, 0, -1)])  # position, g, index; g ascending
     push, pop, shift = queue.append, queue.pop, queue.popleft
     for k, (c, p) in enumerate(zip(pos, pen, strict=True)):
@@ -122,7 +124,12 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list
         while queue and queue[-1][1] >= g:
             pop()
         push((c, g, k))
+        costs.append(g - c)
     out, k = [], len(pos) - 1
+    if open_end and k >= 0 and pos[k] > window:
+        came[k] = min(range(int(np.searchsorted(at, pos[k] - window)), k), key=costs.__getitem__)
+    elif open_end and k >= 0:
+        came[k] = -1
     while k >= 0:
         out.append(pos[k])
         k = came[k]
@@ -158,7 +165,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int = W
         ids = np.frombuffer(raw, "<u4")
         ends = np.array([d[3] for d in docs], np.int64)
         at, cost = candidate_cuts(ids, ends, cache.ends)
-        cuts = best_cuts(at, cost, window)
+        cuts = best_cuts(at, cost, window, open_end=True)
         start = cuts[-2] if len(cuts) > 1 else 0
         if last:
             rest, cuts = len(ids) - start, cuts[:-1]

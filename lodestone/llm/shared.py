@@ -128,6 +128,30 @@ def by_bucket(h: np.ndarray, n_buckets: int, columns: dict[str, np.ndarray]) ->
     return pa.RecordBatch.from_arrays([*rows, *(pa.array([c[p].tobytes() for p in parts], pa.binary()) for c in columns.values())], names=["bucket", *columns])
 
 
+def packed_entries(keys: np.ndarray, rows: np.ndarray, n: int) -> pa.RecordBatch:
+    """Entries (key, row) by the bucket of the key; a row stands once for its keys in a bucket, with their number."""
+    bucket = (mix(keys & ~np.uint64(1)) % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((rows, bucket))
+    bucket, keys, rows = bucket[order], keys[order], rows[order]
+    begin = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (rows[1:] != rows[:-1]))) if len(keys) else np.zeros(0, int)
+    size = np.diff(np.append(begin, len(keys)))
+    if len(size) and size.max() > 0xFFFF:  # counts have two bytes
+        begin = np.union1d(begin, np.concatenate([np.arange(b, b + s, 0xFFFF) for b, s in zip(begin.tolist(), size.tolist(), strict=True)]))
+        size = np.diff(np.append(begin, len(keys)))
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, int)
+    edges, runs = np.append(starts, len(keys)), np.append(np.searchsorted(begin, starts), len(begin))
+    cut = lambda x, e: pa.array([x[a:b].tobytes() for a, b in zip(e[:-1], e[1:], strict=True)], pa.binary())
+    parts = [cut(keys, edges), cut(size.astype(np.uint16), runs), cut(rows[begin], runs)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), *parts], names=["bucket", "keys", "counts", "rows"])
+
+
+ENTRIES = "bucket int, keys binary, counts binary, rows binary"
+
+
+def unpacked_entries(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return unpack(table, "keys", np.uint64), np.repeat(unpack(table, "rows", np.int64), unpack(table, "counts", np.uint16))
+
+
 def unpack(table: pa.Table | pa.RecordBatch, name: str, dtype) -> np.ndarray:
     """All values of a column of packed arrays."""
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
@@ -181,7 +205,7 @@ def pick_shared(n: int):
     """For probe(): the entries (keys, rows) whose key is in the index, packed by a hash of the row for ``gather``."""
 
     def look(left: pa.Table, index: pa.Table) -> pa.Table:
-        keys, rows = unpack(left, "keys", np.uint64), unpack(left, "rows", np.int64)
+        keys, rows = unpacked_entries(left)
         hit = is_in(keys, unpack(index, "shared", np.uint64))
         return packed_rows(rows[hit], n, {"keys": keys[hit]})
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import (
-    WordHashes, by_bucket, chunks, column_bytes, gather, gram_hashes, hashed_words, hot_buckets, is_in, mix, n_buckets, order_id, packed_once, packed_rows, packed_schema, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack,
+    ENTRIES, WordHashes, chunks, column_bytes, gather, gram_hashes, hashed_words, hot_buckets, is_in, mix, n_buckets, order_id, packed_entries, packed_once, packed_rows, packed_schema, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack,
 )
 
 WORDS, SEED_WORDS = 13, 6
@@ -74,13 +74,12 @@ def dedup(docs: DataFrame, words: int = WORDS, seed: int = SEED_WORDS) -> DataFr
             new = changes(doc, least)
             doc, least = doc[new], least[new]
             if full:
-                rows = chunk.column("row").to_numpy()[doc]
-                yield by_bucket(mix(least), n, {"keys": least, "rows": rows})
+                yield packed_entries(least, chunk.column("row").to_numpy()[doc], n)
             else:
                 yield packed_once(least, doc, n)
 
     shared = repeated_keys(docs.select("text").mapInArrow(lambda it: seeds(it, False), "bucket int, keys binary, entries long"))
-    mine = docs.select("row", "text").mapInArrow(lambda it: seeds(it, True), "bucket int, keys binary, rows binary")
+    mine = docs.select("row", "text").mapInArrow(lambda it: seeds(it, True), ENTRIES)
     mine = probe(mine, shared, hot_buckets(shared), n, "rows", pick_shared(n), packed_schema("keys"))
     mine = settle(gather(mine, {"keys": np.uint64}))
     release(shared)

@@ -29,7 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import by_bucket, chunks, column_bytes, gather, hot_buckets, is_in, mix, n_buckets, packed_once, packed_rows, packed_schema, pick_shared, probe, release, repeated_keys, row_key, settle, sliding_min, unpack
+from lodestone.llm.shared import (
+    ENTRIES, chunks, column_bytes, gather, hot_buckets, is_in, mix, n_buckets, packed_entries, packed_once, packed_rows, packed_schema, pick_shared, probe, release, repeated_keys, row_key,
+    settle, sliding_min, unpack,
+)
 
 LEAST, SEED = 400, 32
 SCAN_BYTES, SORT_BYTES = 1 << 20, 1 << 20
@@ -195,13 +198,13 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         for chunk in chunks(batches, most=SCAN_BYTES):
             scan = Scan(column_bytes(chunk), least)
             if full:
-                yield by_bucket(mix(scan.key), n, {"keys": scan.key, "rows": chunk.column("row").to_numpy()[scan.doc]})
+                yield packed_entries(scan.key, chunk.column("row").to_numpy()[scan.doc], n)
             else:
                 twice = scan.key[scan.twice]
                 yield packed_once(np.concatenate([scan.key, twice]), np.concatenate([scan.start, -1 - np.flatnonzero(scan.twice)]), n)
 
     shared = repeated_keys(docs.select("text").mapInArrow(lambda it: seeds(it, False), "bucket int, keys binary, entries long"))
-    mine = docs.select("row", "text").mapInArrow(lambda it: seeds(it, True), "bucket int, keys binary, rows binary")
+    mine = docs.select("row", "text").mapInArrow(lambda it: seeds(it, True), ENTRIES)
     hot = hot_buckets(shared)
     mine = probe(mine, shared, hot, n, "rows", pick_shared(n), packed_schema("keys"))
     mine = settle(gather(mine, {"keys": np.uint64}))
