@@ -80,7 +80,7 @@ _BOUND = {"s": "customer:7", "p": "inNation", "o": "nation:3"}
 for _key in ("spo", "sp", "po", "os", "s", "p", "o"):
     _terms = {c: _BOUND[c] for c in _key}
     if "s" in _key and "o" in _key:
-        _terms |= {"s": "nation:3", "o": "region:1"} | ({"p": "inRegion"} if "p" in _key else {})
+        _terms |= {"s": "nation:3", "o": "region:3"} | ({"p": "inRegion"} if "p" in _key else {})
     _where = " AND ".join(f"{c} = '{v}'" for c, v in _terms.items())
 
     @query(f"kg_lookup_{_key}", T + f"SELECT s AS subject, p AS predicate, o AS object FROM t WHERE {_where}")
@@ -132,10 +132,10 @@ def parse_terms(s: str, p: str, o: str):
     return Pattern(s or "?s", p or "?p", o or "?o")
 
 
-@query("kg_contains", T + "SELECT EXISTS(SELECT 1 FROM t WHERE s = 'nation:3' AND p = 'inRegion' AND o = 'region:1') AS yes, EXISTS(SELECT 1 FROM t WHERE s = 'nation:3' AND p = 'inRegion' AND o = '') AS no")
+@query("kg_contains", T + "SELECT EXISTS(SELECT 1 FROM t WHERE s = 'nation:3' AND p = 'inRegion' AND o = 'region:3') AS yes, EXISTS(SELECT 1 FROM t WHERE s = 'nation:3' AND p = 'inRegion' AND o = '') AS no")
 def kg_contains(spark, sf_dir):
     g = facts(spark, sf_dir, {"inRegion"})
-    return spark.createDataFrame([(g.contains("nation:3", "inRegion", "region:1"), g.contains("nation:3", "inRegion", ""))], "yes boolean, no boolean")
+    return spark.createDataFrame([(g.contains("nation:3", "inRegion", "region:3"), g.contains("nation:3", "inRegion", ""))], "yes boolean, no boolean")
 
 
 _NEW = "SELECT 'nation:' || n_nationkey AS s, 'inRegion' AS p, 'region:' || ((n_regionkey + n_nationkey) % 5) AS o FROM nation"
@@ -308,23 +308,23 @@ def hop_k_relations(spark, sf_dir):
     return paths.neighbours(facts(spark, sf_dir), "order:10", 2, {"placedBy", "inNation"})
 
 
-@query("hop_k_cycle", E + ", g AS (SELECT s, o FROM e)" + _hops("nation:3", 4) + "SELECT node, CAST(min(d) AS INT) AS distance FROM h WHERE node <> 'nation:3' GROUP BY node")
+@query("hop_k_cycle", E + ", g AS (SELECT s, o FROM e)" + _hops("nation:13", 4) + "SELECT node, CAST(min(d) AS INT) AS distance FROM h WHERE node <> 'nation:13' GROUP BY node")
 def hop_k_cycle(spark, sf_dir):
-    return paths.within(trade(spark, sf_dir), "nation:3", 4)
+    return paths.within(trade(spark, sf_dir), "nation:13", 4)
 
 
 @query(
     "reachable",
-    E + ", g AS (SELECT s, o FROM e)" + _hops("nation:3", 10) + ", n AS (SELECT 'nation:7' AS target UNION ALL SELECT 'nation:20' UNION ALL SELECT 'nowhere') SELECT target, target IN (SELECT node FROM h) AS reachable FROM n",
+    E + ", g AS (SELECT s, o FROM e)" + _hops("nation:13", 10) + ", n AS (SELECT 'nation:14' AS target UNION ALL SELECT 'nation:20' UNION ALL SELECT 'nowhere') SELECT target, target IN (SELECT node FROM h) AS reachable FROM n",
 )
 def reachable(spark, sf_dir):
     g = trade(spark, sf_dir)
-    return spark.createDataFrame([(x, paths.reachable(g, "nation:3", x)) for x in ("nation:7", "nation:20", "nowhere")], "target string, reachable boolean")
+    return spark.createDataFrame([(x, paths.reachable(g, "nation:13", x)) for x in ("nation:14", "nation:20", "nowhere")], "target string, reachable boolean")
 
 
-@query("shortest_length", E + ", g AS (SELECT s, o FROM e)" + _hops("nation:3", 6) + "SELECT 'nation:3' AS source, 'nation:7' AS target, CAST(coalesce(min(d), -1) AS INT) AS length FROM h WHERE node = 'nation:7'")
+@query("shortest_length", E + ", g AS (SELECT s, o FROM e)" + _hops("nation:13", 6) + "SELECT 'nation:13' AS source, 'nation:14' AS target, CAST(coalesce(min(d), -1) AS INT) AS length FROM h WHERE node = 'nation:14'")
 def shortest_length(spark, sf_dir):
-    return paths.shortest_path(trade(spark, sf_dir), "nation:3", "nation:7", 6).select("source", "target", "length")
+    return paths.shortest_path(trade(spark, sf_dir), "nation:13", "nation:14", 6).select("source", "target", "length")
 
 
 @query(
@@ -339,11 +339,11 @@ def shortest_undirected(spark, sf_dir):
 
 @query(
     "simple_paths",
-    E + ", w(node, seen, n) AS (SELECT CAST('nation:3' AS VARCHAR), ['nation:3'], 0 UNION ALL SELECT e.o, list_append(seen, e.o), n + 1 FROM w JOIN e ON e.s = w.node "
-    "WHERE n < 4 AND NOT list_contains(seen, e.o) AND w.node <> 'nation:7') SELECT array_to_string(seen, '>') AS nodes, CAST(n AS INT) AS length FROM w WHERE node = 'nation:7'",
+    E + ", w(node, seen, n) AS (SELECT CAST('nation:13' AS VARCHAR), ['nation:13'], 0 UNION ALL SELECT e.o, list_append(seen, e.o), n + 1 FROM w JOIN e ON e.s = w.node "
+    "WHERE n < 4 AND NOT list_contains(seen, e.o) AND w.node <> 'nation:14') SELECT array_to_string(seen, '>') AS nodes, CAST(n AS INT) AS length FROM w WHERE node = 'nation:14'",
 )
 def simple_paths(spark, sf_dir):
-    found = paths.simple_paths(trade(spark, sf_dir), "nation:3", "nation:7", 4)
+    found = paths.simple_paths(trade(spark, sf_dir), "nation:13", "nation:14", 4)
     nodes = F.concat_ws(">", F.col("path")[0]["src"], F.array_join(F.transform("path", lambda h: h["dst"]), ">"))
     return found.select(nodes.alias("nodes"), "length")
 
