@@ -128,11 +128,11 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     table = table.withColumn("beyond", F.sum("count").over(down)).withColumn("all", F.sum("count").over(Window.partitionBy("band")))
     fair = F.pow(F.lit(10.0), -F.col("bin") / 10) * F.col("all") <= F.lit(FALSE_DISCOVERIES) * F.col("beyond")
     least = table.where(fair & (F.col("bin") > 0)).groupBy("band").agg(F.min("bin").alias("bin"))
-    least = least.agg(F.map_from_entries(F.collect_list(F.struct("band", "bin"))).alias("least"))
-    joined = first.crossJoin(F.broadcast(least))  # one row
-    passed = F.filter("r", lambda x: x["t"]["bin"] >= F.coalesce(F.try_element_at("least", x["t"]["band"]), F.lit(BINS + 1)))
+    limits = {r["band"]: r["bin"] for r in least.collect()}  # a row for each band at most
+    limit = lambda band: F.coalesce(*[F.when(band == b, F.lit(x)) for b, x in limits.items()], F.lit(BINS + 1))
+    passed = F.filter("r", lambda x: x["t"]["bin"] >= limit(x["t"]["band"]))
     added = F.transform(passed, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
-    return joined.select(
+    return first.select(
         "row.*", *[F.col(c).cast("long").alias(n) for c, n in (("a", "n_assign"), ("k", "n_access"), ("h", "n_hex"))],
         "base", F.array_sort(F.concat("base", added)).alias("marks"),
     )
