@@ -9,10 +9,11 @@ the training tokens; a text's probability is the product of the mixed estimates,
 context that training hasn't seen leaves the estimate to the longest one that it has.
 
 Contexts don't cross tokens, so a token always costs the same: the counts are gathered from the table
-of distinct tokens, and a text needs the sum over its tokens. The tree's events (context, byte) are
-distinct over the whole corpus; the depth is the largest, up to ``DEPTH``, with at most ``EVENTS`` of
-them, which bounds the model on the driver and in the broadcast. The ``HEAD`` most frequent tokens are
-broadcast with their costs; the others meet the token table in a join by hash bucket.
+of distinct tokens, and a text needs the sum over its tokens. The depth is ``DEPTH`` for any input. The
+tree is dealt by the ``LOW`` nearest bytes of the context: what lies below such a node is weighed in one
+task, and the driver has the nodes above alone, 256 x 256 for each depth at most. A chunk of the token
+table asks for its distinct events (context, byte) and gets their costs. The ``HEAD`` most frequent tokens
+are broadcast with their costs; the others meet the token table in a join by hash bucket.
 
 Defined cases: a null text is empty and has its end alone; a null doc_id is in training; repeated
 rows count as often as they stand; an empty table gives no rows; texts of any length are whole.
@@ -31,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import chunks, column_bytes, probe, settle
+from lodestone.llm.shared import by_bucket, chunks, column_bytes, mix, probe, release, settle, unpack
 
-DEPTH, EVENTS, HEAD = 6, 1 << 19, 80_000
+DEPTH, LOW, HEAD = 6, 2, 80_000
 END = b"\n"
 #: Distinct tokens that a task gathers before it passes them on, and in a bucket of the token table.
 GATHERED, IN_BUCKET = 300_000, 400_000
+#: Distinct tokens in a chunk that asks for costs, and for each part of the tree.
+IN_CHUNK, IN_TREE = 100_000, 30_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -68,39 +71,78 @@ def token_events(tokens: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, n
     return key, ends
 
 
-def weigh(keys: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
-    """log10 of the mixed probability of each event, given the counts of all."""
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
+
+
+def _decision(keys: np.ndarray, n: np.ndarray, j: int, low: int, depth: int):
+    """Decision j of each event: prefix and bit; for each depth from low on the node of each event, the nodes' counts,
+    KT estimates and products below; and the lowest depth's weighted estimates and first events."""
     sym, ctx = (keys & np.uint64(255)).astype(np.int64), keys >> np.uint64(8)
+    prefix = np.uint64(1 << j) | (sym >> (8 - j)).astype(np.uint64)
+    bit = (sym >> (7 - j)) & 1
+    inv, first, n0, n1, kt = [], [], [], [], []
+    for d in range(low, depth + 1):
+        mask = np.uint64((1 << (8 * d)) - 1)
+        _, at, which = np.unique(((ctx & mask) << np.uint64(8)) | prefix, return_index=True, return_inverse=True)
+        ones, zeros = (np.bincount(which, n * b, len(at)) for b in (bit, 1 - bit))
+        inv.append(which)
+        first.append(at)
+        n0.append(zeros)
+        n1.append(ones)
+        kt.append(_kt(zeros, ones))
+    weighted, below = kt[-1], [None] * len(kt)
+    for d in range(len(kt) - 2, -1, -1):
+        below[d] = np.bincount(inv[d][first[d + 1]], weighted, len(kt[d]))
+        weighted = np.logaddexp(kt[d], below[d]) - np.log(2)
+    return prefix, bit, inv, n0, n1, kt, below, weighted, first[0]
+
+
+def weigh(keys: np.ndarray, n: np.ndarray, depth: int, top: list | None = None) -> np.ndarray:
+    """log10 of the mixed probability of each event, given the counts of all; or, with the nodes above ``LOW`` as
+    ``crown`` has them, given the counts of all events that share the LOW nearest bytes with one of these."""
+    ctx, low = keys >> np.uint64(8), 0 if top is None else LOW
     out = np.zeros(len(keys))
     for j in range(8):
-        prefix = np.uint64(1 << j) | (sym >> (8 - j)).astype(np.uint64)
-        bit = (sym >> (7 - j)) & 1
-        inv, first, n0, n1, kt = [], [], [], [], []
-        for d in range(depth + 1):
-            mask = np.uint64((1 << (8 * d)) - 1)
-            _, at, which = np.unique(((ctx & mask) << np.uint64(8)) | prefix, return_index=True, return_inverse=True)
-            ones, zeros = (np.bincount(which, n * b, len(at)) for b in (bit, 1 - bit))
-            inv.append(which)
-            first.append(at)
-            n0.append(zeros)
-            n1.append(ones)
-            kt.append(log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi))
-        weighted, below = kt[depth], [None] * (depth + 1)
-        for d in range(depth - 1, -1, -1):
-            below[d] = np.bincount(inv[d][first[d + 1]], weighted, len(kt[d]))
-            weighted = np.logaddexp(kt[d], below[d]) - np.log(2)
+        prefix, bit, inv, n0, n1, kt, below, _, _ = _decision(keys, n, j, low, depth)
         p, seen = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
         for d in range(depth, -1, -1):
-            a, b = n0[d][inv[d]], n1[d][inv[d]]
+            if d < low:
+                a, b, own_share = (x[((ctx & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | prefix] for x in top[d])
+            else:
+                k = d - low
+                a, b = n0[k][inv[k]], n1[k][inv[k]]
+                own_share = 1.0 if d == depth else 1 / (1 + np.exp(np.clip(below[k] - kt[k], -700, 700)))[inv[k]]
             own = (np.where(bit == 1, b, a) + 0.5) / (a + b + 1)
-            if d < depth:
-                own_share = 1 / (1 + np.exp(np.clip(below[d] - kt[d], -700, 700)))[inv[d]]
-                own = np.where(seen, own_share * own + (1 - own_share) * p, own)
-            p, seen = own, a + b > 0
+            p, seen = np.where(seen, own_share * own + (1 - own_share) * p, own), a + b > 0
         out += np.log10(p)
     return out
 
 
+def roots(keys: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
+    """Of all events that share the LOW nearest bytes: counts (zeros, ones) of the nodes one depth above, and the
+    product below them; a node's place is its context and prefix."""
+    out = np.zeros((3, 256**LOW))
+    for j in range(8):
+        prefix, _, _, n0, n1, _, _, weighted, first = _decision(keys, n, j, LOW, depth)
+        node = ((((keys >> np.uint64(8)) & np.uint64(256 ** (LOW - 1) - 1)) << np.uint64(8)) | prefix)[first].astype(np.int64)
+        out += [np.bincount(node, x, out.shape[1]) for x in (n0[0], n1[0], weighted)]
+    return out
+
+
+def crown(sums: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From the sum of all roots(): counts and the share of the own estimate, for each depth under LOW."""
+    out = []
+    for _ in range(LOW):
+        zeros, ones, below = sums
+        kt = _kt(zeros, ones)
+        out.insert(0, (zeros, ones, 1 / (1 + np.exp(np.clip(below - kt, -700, 700)))))
+        weighted = np.where(zeros + ones > 0, np.logaddexp(kt, below) - np.log(2), 0.0)
+        if len(zeros) > 256:  # the farthest byte is the highest
+            sums = np.stack([x.reshape(256, -1).sum(0) for x in (zeros, ones, weighted)])
+    return out
+
+
 def _tokens(raw: bytes | None) -> list[bytes]:
     return [*raw.lower().split(), END] if raw else [END]
 
@@ -128,39 +170,60 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _ask(n_trees: int):
+    def ask(table: pa.Table) -> pa.Table:
+        """The distinct events of a chunk of tokens with their number in training, by part of the tree."""
+        keys, ends = token_events(table.column("word").to_pylist())
+        found, which = np.unique(keys, return_inverse=True)
+        n = np.bincount(which, np.repeat(table.column("c").to_numpy().astype(float), np.diff(ends, prepend=0)), len(found))
+        out = by_bucket(mix((found >> np.uint64(8)) & np.uint64(256**LOW - 1)), n_trees, {"keys": found, "n": n})
+        return pa.Table.from_batches([out.append_column("chunk", pa.repeat(table.column("chunk")[0], out.num_rows))])
+
+    return ask
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    found, which = np.unique(unpack(table, "keys", np.uint64), return_inverse=True)
+    return found, np.bincount(which, unpack(table, "n", float), len(found))
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        found, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return found, np.bincount(which, np.concatenate([n for _, n in held]), len(found))
 
-    def out(found, n):
-        for k in range(0, len(found), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000].astype(np.int64)), pa.array(n[k : k + 50_000])], names=["key", "n"])
+def _roots(table: pa.Table) -> pa.Table:
+    sums = roots(*_merged(table), DEPTH)
+    node = np.flatnonzero(sums.any(0))
+    return pa.table({"node": pa.array(node.astype(np.int32))} | {name: x[node] for name, x in zip(("zeros", "ones", "below"), sums, strict=True)})
 
-    for batch in batches:
-        keys, ends = token_events(batch.column("word").to_pylist())
-        held.append((keys, np.repeat(batch.column("c").to_numpy().astype(float), np.diff(ends, prepend=0))))
-        if sum(len(k) for k, _ in held) > 1 << 20:
-            held = [merged()]
-            if len(held[0][0]) > 1 << 19:
-                yield from out(*held[0])
-                held = []
-    if held:
-        yield from out(*merged())
 
+def token_costs(vocabulary: DataFrame, n_tokens: int) -> DataFrame:
+    """word, c, total, lp and hash h of each row (word, c, total)."""
+    n_chunks, n_trees = max(8, n_tokens // IN_CHUNK), max(8, n_tokens // IN_TREE)
+    vocabulary = vocabulary.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(n_chunks)).cast("int"))
+    asked = settle(vocabulary.groupBy("chunk").applyInArrow(_ask(n_trees), "bucket int, keys binary, n binary, chunk int"))
+    sums = np.zeros((3, 256**LOW))
+    nodes = asked.groupBy("bucket").applyInArrow(_roots, "node int, zeros double, ones double, below double")
+    nodes = nodes.groupBy("node").agg(*[F.sum(x).alias(x) for x in ("zeros", "ones", "below")]).toPandas()  # 256 ** LOW rows at most
+    sums[:, nodes["node"].to_numpy(int)] = nodes[["zeros", "ones", "below"]].to_numpy(float).T
+    top = vocabulary.sparkSession.sparkContext.broadcast(crown(sums))
 
-def fit(vocabulary: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Depth, sorted event keys and log10 probabilities, from (word, c)."""
-    events = settle(vocabulary.select("word", "c").mapInArrow(_events, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")))
-    for depth in range(DEPTH, -1, -1):
-        cut = events.groupBy(F.col("key").bitwiseAND((1 << (8 * depth + 8)) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        if depth == 0 or cut.count() <= EVENTS:  # depth 0 has 256 at most
-            break
-    got = cut.orderBy("key").toPandas()
-    keys, n = got["key"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(float)
-    return depth, keys, weigh(keys, n, depth) if len(keys) else np.zeros(0)
+    def answer(table: pa.Table) -> pa.Table:
+        found, n = _merged(table)
+        logs = weigh(found, n, DEPTH, top.value)
+        got = [logs[np.searchsorted(found, np.frombuffer(k, np.uint64))].tobytes() for k in table.column("keys").to_pylist()]
+        return pa.table({"chunk": table.column("chunk"), "keys": table.column("keys"), "logs": pa.array(got, pa.binary())})
+
+    def cost(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = left.column("word").to_pylist()
+        found, ends = token_events(words)
+        keys, logs = unpack(right, "keys", np.uint64), unpack(right, "logs", float)
+        order = np.argsort(keys)
+        each = logs[order[np.searchsorted(keys, found, sorter=order)]]
+        lp = np.add.reduceat(each, ends - np.diff(ends, prepend=0))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.int64)
+        return pa.table({"word": left.column("word"), "c": left.column("c"), "total": left.column("total"), "lp": lp, "h": h})
+
+    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk int, keys binary, logs binary")
+    costs = settle(vocabulary.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cost, "word binary, c long, total long, lp double, h long"))
+    release(asked)
+    return costs
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -173,20 +236,7 @@ def score(docs: DataFrame) -> DataFrame:
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("total"), F.lit(0)).alias("seen")).first()
     n_train, whole = sums["n"], sums["n"] + 0.5 * (sums["v"] + 1)
     n_buckets = max(8, -(-sums["all"] // IN_BUCKET), sums["seen"] // (20 * IN_BUCKET))
-    model = spark.sparkContext.broadcast(fit(vocabulary))
-
-    def cost(batches):
-        depth, keys, logs = model.value
-        mask = np.uint64((1 << (8 * depth + 8)) - 1)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            found, ends = token_events(words)
-            each = np.cumsum(np.concatenate([[0.0], logs[np.searchsorted(keys, found & mask)]]))
-            lp = pa.array(each[ends] - each[np.concatenate([[0], ends[:-1]])])
-            h = pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("total"), lp, h], names=["word", "c", "total", "lp", "h"])
-
-    costs = settle(vocabulary.mapInArrow(cost, "word binary, c long, total long, lp double, h long"))
+    costs = token_costs(vocabulary, sums["all"])
     top = costs.orderBy(F.desc("total"), "h").limit(HEAD).select("word", "c", "lp").toPandas()
     place = {bytes(w): i for i, w in enumerate(top["word"])}
     base = lambda c: np.log10((c + 0.5) / whole)

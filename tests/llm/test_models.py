@@ -167,6 +167,26 @@ def test_context_tree_sums_to_one():
         assert abs(p[every >> np.uint64(8) == ctx].sum() - 1) < 1e-9
 
 
+def test_depth_stays_on_large_input(spark):
+    """The tree is as deep over more than 2^19 events, and weighed in parts as in one piece."""
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, row)) for row in rng.integers(97, 123, (75_000, 10))]
+    texts = [" ".join(words[i::50]) for i in range(50)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    c = Counter(w for d, t in enumerate(texts) for w in [*t.encode().split(), b"\n"] if not held(d))
+    every = [*{w.encode() for w in words}, b"\n"]
+    keys, ends = language_model.token_events(every, 6)
+    found, which = np.unique(keys, return_inverse=True)
+    assert len(found) > 1 << 19
+    n = np.bincount(which, np.repeat([float(c[w]) for w in every], np.diff(ends, prepend=0)), len(found))
+    lp = np.add.reduceat(language_model.weigh(found, n, 6)[which], ends - np.diff(ends, prepend=0))
+    cost = dict(zip(every, lp, strict=True))
+    out = language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == 50
+    for r in out:
+        assert abs(r.score - sum(cost[w] for w in [*texts[r.doc_id].encode().split(), b"\n"])) < 1e-6
+
+
 # ---- packing
 
 
