@@ -1,7 +1,8 @@
 """Secret scans by a battery of randomness tests, in DataFrame functions only.
 
 The base kinds are patterns. Beside them, each run of 16 or more characters of an encoding's alphabet
-is tested if its encoding (hex, base 32, base 64) can be inferred: a uniformity statistic (the sum of
+with at most two = at its end is tested if its encoding (hex, base 32, base 64) can be inferred; a run
+that mixes base 64 and its variant for URLs is tested in the parts that either has: a uniformity statistic (the sum of
 squared character counts, as in chi-squared), the number of changes between lower case, upper case and
 other characters (runs), and the correlation of neighbours. Each is turned into a deviation from what
 word-like strings show at that length; the deviations are added (Stouffer) and give a p-value of the
@@ -27,7 +28,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: The rest of these two patterns can't begin inside a failing match, so the least length may stand in them.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-RUN = r"[A-Za-z0-9+/=_-]{16,}"
+RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: The parts of a run that holds characters of both base 64 and base 64 for URLs.
+PARTS = (r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
 FALSE_DISCOVERIES = 0.001
 #: Lower ends of the bands of lengths.
@@ -62,6 +65,17 @@ def found(text: Column, pattern: str, gate: str | None = None) -> Column:
     return F.when(F.rlike(text, F.lit(gate or pattern)), places(text, pattern)).otherwise(_none())
 
 
+def split_mixed(runs: str) -> Column:
+    """The runs, those of mixed alphabets as their parts; a part of both alphabets stands once."""
+
+    def parts(x):
+        shift = lambda p: F.struct((x["start"] + p["start"]).alias("start"), (x["start"] + p["end"]).alias("end"), p["hit"].alias("hit"))
+        either = F.array_distinct(F.concat(*[places(x["hit"], pattern) for pattern in PARTS]))
+        return F.when(x["hit"].rlike("[+/]") & x["hit"].rlike("[_-]"), F.transform(either, shift)).otherwise(F.array(x))
+
+    return F.flatten(F.transform(runs, parts))
+
+
 def battery(hit: Column) -> Column:
     """band and bin of a string that may be random; null for others."""
     body = F.rtrim(hit, F.lit("="))
@@ -119,7 +133,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     bare = lambda name, kind: F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
     base = F.array_sort(F.concat(bare("a", 0), bare("k", 1), bare("h", 2)))
     first = first.select("row", base.alias("base"), F.size("a").alias("a"), F.size("k").alias("k"), F.size("h").alias("h"), "r")
-    alone = F.filter("r", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    alone = F.filter(split_mixed("r"), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     tested = F.transform(alone, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["hit"]).alias("t")))
     first = first.withColumn("r", F.filter(tested, lambda x: x["t"].isNotNull()))
     first = settle(first)

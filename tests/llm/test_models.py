@@ -86,6 +86,26 @@ def test_secrets(spark):
     assert secrets.scan_digests(df.limit(0)).count() == 0
 
 
+def test_secrets_beside_signs(spark):
+    """Random strings after a name and =, or in one run with signs of the other alphabet, are tested."""
+    rng = np.random.default_rng(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts, spans = [], []
+    for i in range(24):
+        p = "".join(letters[k] for k in rng.integers(0, 62, 44))
+        before = ("private_key=", "see ?sig=", "x/my-own-page/")[i % 3]
+        texts.append(f"é {before}{p}{'==' if i % 3 == 1 else ''} and more")
+        spans.append((len(before) + 2, len(before) + 46))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in secrets.scan_digests(df).collect()}
+    for kind in range(3):
+        caught = 0
+        for i in range(kind, 24, 3):
+            caught += any(a <= spans[i][0] and b >= spans[i][1] for a, b in out[i])
+            assert all(a >= spans[i][0] - 5 and b <= spans[i][1] + 2 for a, b in out[i])
+        assert caught >= 6
+
+
 # ---- language model
 
 
