@@ -478,6 +478,13 @@ def _triples(spark, sf_dir):
     return v.select(F.col("vec_id").cast("int").alias("h"), (F.col("vec_id") % 10).cast("int").alias("r"), ((F.col("vec_id") * 7 + 3) % 500).cast("int").alias("t"))
 
 
+def _all_triples(spark, sf_dir):
+    """A triple for each row of the table, and the number of rows, which folds the tails."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = v.count()
+    return v.select(F.col("vec_id").cast("int").alias("h"), (F.col("vec_id") % 10).cast("int").alias("r"), ((F.col("vec_id") * 7 + 3) % n).cast("int").alias("t")), n
+
+
 _V = "WITH v AS (SELECT CAST(vec_id AS INT) AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), q AS (SELECT CAST(vec_id AS INT) AS h, CAST(vec_id % 10 AS INT) AS r, CAST((vec_id * 7 + 3) % 500 AS INT) AS t FROM embeddings WHERE vec_id < 200), "
 _DIFF = "list_transform(range(1, 65), lambda i: a.vec[i] + b.vec[i] - c.vec[i])"
 _L1, _L2 = (f"-{x}" for x in (f"list_sum(list_transform({_DIFF}, lambda x: abs(x)))", f"sqrt(list_sum(list_transform({_DIFF}, lambda x: x * x)))"))
@@ -570,20 +577,22 @@ def transe_step(spark, sf_dir):
 
 @query("rotate_step")
 def rotate_step(spark, sf_dir):
-    batch = _triples(spark, sf_dir).withColumn("nh", F.col("h")).withColumn("nt", ((F.col("t") * 7 + 3) % 500).cast("int"))
+    triples, n = _all_triples(spark, sf_dir)
+    batch = triples.withColumn("nh", F.col("h")).withColumn("nt", ((F.col("t").cast("long") * 7 + 3) % n).cast("int"))
     return rotate(spark, sf_dir).step(batch)[0].entities
 
 
 @query("negative_sample")
 def negative_sample(spark, sf_dir):
-    return embeddings.corrupt(_triples(spark, sf_dir), 500)
+    return embeddings.corrupt(*_all_triples(spark, sf_dir))
 
 
 @query("train_transe")
 def train_transe(spark, sf_dir):
     """Losses of a short training, by epoch."""
-    model = embeddings.TransE.initial(spark, 500, 10, embeddings.TransEConfig(dim=16))
-    _, result = embeddings.train(model, _triples(spark, sf_dir), 500, embeddings.TrainerConfig(epochs=2, batch_size=100))
+    triples, n = _all_triples(spark, sf_dir)
+    model = embeddings.TransE.initial(spark, n, 10, embeddings.TransEConfig(dim=16))
+    _, result = embeddings.train(model, triples, n, embeddings.TrainerConfig(epochs=2, batch_size=100))
     return spark.createDataFrame(list(enumerate(result.losses)), "epoch int, loss double")
 
 

@@ -107,3 +107,38 @@ def test_predict_and_evaluate(spark):
         assert ranks[h, rel, t] == (s >= s[t]).sum()
     m = M.evaluate(model, triples).first()
     assert abs(m.mrr - np.mean([1 / x for x in ranks.values()])) < 1e-9 and m.hits_at_10 == 1.0
+
+
+def test_queries_take_every_row(spark, tmp_path, monkeypatch):
+    from lodestone.plans import registry
+
+    n, rng = 620, np.random.default_rng(6)
+    x = rng.normal(size=(n, 64))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {(i, i % 10, (i * 7 + 3) % n) for i in range(n)}
+    drawn = registry.QUERIES["negative_sample"](spark, str(tmp_path)).collect()
+    assert len(drawn) == n and {(r.h, r.r, r.t) for r in drawn} == want
+    assert max(max(r.nh, r.nt) for r in drawn) >= 500 and all(r.nh < n and r.nt < n and (r.nh == r.h or r.nt == r.t) for r in drawn)
+
+    h, rel, t = np.array(sorted(want)).T
+    nh, nt = h, (t * 7 + 3) % n
+    z = x[:, :32] + 1j * x[:, 32:]
+    w = z[:10] / np.abs(z[:10])
+    size = lambda g: np.sqrt((np.abs(g) ** 2).sum(1))
+    gap = z[h] * w[rel] - z[t]
+    hot = 6 + size(gap) - size(z[nh] * w[rel] - z[nt]) > 0
+    new = z.copy()
+    np.add.at(new, h[hot], -0.01 * gap[hot] * w[rel][hot].real)
+    np.add.at(new, t[hot], 0.01 * gap[hot])
+    got = registry.QUERIES["rotate_step"](spark, str(tmp_path))
+    assert np.allclose(matrix(got, "re") + 1j * matrix(got, "im"), new)
+
+    seen = {}
+
+    def spy(model, triples, n_entities, config):
+        seen.update(entities=model.entities.count(), triples={tuple(r) for r in triples.collect()}, n=n_entities)
+        return model, M.TrainResult([0.0])
+
+    monkeypatch.setattr(registry.embeddings, "train", spy)
+    registry.QUERIES["train_transe"](spark, str(tmp_path))
+    assert seen == {"entities": n, "triples": want, "n": n}
