@@ -1,16 +1,17 @@
 """Quality classifier by co-training.
 
 Two logistic regressions see different views of a document: its text (hashed word shares and content
-features) and its page metadata (language, source, length). In each round either one labels the pool
-documents it is surest of and hands them to the other's training set. Both are then calibrated on
+features) and its page metadata (language, source, length). In each round either one labels the
+unlabelled documents it is surest of and hands them to the other's training set. Both are then calibrated on
 labelled rows that were held out, and a logistic regression of the two calibrated views scores every
 document.
 
-The models are fitted on at most ``LABELLED`` labelled rows and ``POOL`` unlabelled ones, taken in the
-order of a hash of doc_id; every row of the corpus is scored.
+The labelled rows are at most ``LABELLED``, in the order of a hash of doc_id. In each round every unlabelled
+row is scored and a text is handed over once: at most ``HANDED_OVER`` for each class and view. Both views
+of all rows are computed once and kept; every row of the corpus is scored.
 
 Defined cases: a null text is empty, null metadata are a value of their own; a null doc_id is scored
-like others and is never in the sample; repeated rows get equal rows; without labels of both classes
+like others and is never trained on; repeated rows get equal rows; without labels of both classes
 all scores are 0.5; an empty table gives no rows.
 """
 
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.quality_rules import RULES, features
-from lodestone.llm.shared import WordHashes, chunks, column_bytes, hashed_words
+from lodestone.llm.shared import WordHashes, chunks, column_bytes, hashed_words, release, settle
 
-LABELLED, POOL = 3000, 5000
+LABELLED = 3000
 #: Hashed words of the text view, and hashed values of the metadata view.
 WORDS, VALUES = 2048, 64
 ROUNDS, HANDED_OVER, SURE = 4, 150, 0.9
@@ -56,6 +57,29 @@ def _views(chunk: pa.RecordBatch, cache: WordHashes) -> Iterator[tuple[np.ndarra
         yield (own % np.uint64(WORDS)).astype(np.int64), np.array(_content(features(raw or b"", own)[1])), values, np.array([size / 5, (size / 5) ** 2, n is None])
 
 
+_KEPT = "doc_id long, row long, text_key long, words binary, content binary, page binary, numbers binary"
+_KINDS = (("words", np.uint16), ("content", float), ("page", np.uint8), ("numbers", float))
+
+
+def _kept_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHashes()
+    for chunk in chunks(batches):
+        out = [(w.astype(np.uint16), c, np.array(v, np.uint8), x.astype(float)) for w, c, v, x in _views(chunk, cache)]
+        packed = [pa.array([o[k].tobytes() for o in out], pa.binary()) for k in range(len(_KINDS))]
+        names = ["doc_id", "row", "text_key"]
+        yield pa.RecordBatch.from_arrays([*(chunk.column(n) for n in names), *packed], names=[*names, *(n for n, _ in _KINDS)])
+
+
+def _unpacked(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    columns = [[np.frombuffer(x, t) for x in batch.column(n).to_pylist()] for n, t in _KINDS]
+    return zip(*columns, strict=True)
+
+
+def _logit(views, t: np.ndarray, e: np.ndarray) -> tuple[float, float]:
+    words, content, values, numbers = views
+    return 30.0 / max(len(words), 1) * t[words].sum() + content @ t[WORDS:-1] + t[-1], e[values].sum() + numbers @ e[VALUES:-1] + e[-1]
+
+
 def _dense(views) -> tuple[np.ndarray, np.ndarray]:
     words, content, values, numbers = views
     x = np.bincount(words, minlength=WORDS) * (30.0 / max(len(words), 1))
@@ -90,27 +114,25 @@ def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], seed: int = 1) -> dict[str, np.ndarray] | None:
-    """Weights of both views, their calibrations (slope, intercept) and the weights that join them."""
+def co_train(views: list[np.ndarray], y: np.ndarray, surest, seed: int = 1) -> dict[str, np.ndarray] | None:
+    """Weights of both views, their calibrations (slope, intercept) and the weights that join them.
+
+    surest(ws) hands over, for each view k, class and set of texts, (k, label, both views of them)."""
     if not len(y) or y.min() == y.max():
         return None
     held = np.random.default_rng(seed).random(len(y)) < HELD_OUT
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    free = np.ones(len(pools[0]), bool)
     train = [[v[~held]] for v in views]
     said = [[y[~held]] for _ in views]
     ws = [fit_logistic(t[0], s[0]) for t, s in zip(train, said, strict=True)]
-    for _ in range(ROUNDS if len(free) else 0):
-        for k in (0, 1):
-            p = sigmoid(logits(pools[k], ws[k]))
-            for label, order in ((1.0, np.argsort(-p)), (0.0, np.argsort(p))):
-                sure = (p >= SURE) if label else (p <= 1 - SURE)
-                take = [i for i in order[: 4 * HANDED_OVER] if free[i] and sure[i]][:HANDED_OVER]
-                if take:
-                    free[take] = False
-                    train[1 - k].append(pools[1 - k][take])
-                    said[1 - k].append(np.full(len(take), label))
+    for _ in range(ROUNDS):
+        given = surest(ws)
+        if not given:
+            break
+        for k, label, found in given:
+            train[1 - k].append(found[1 - k])
+            said[1 - k].append(np.full(len(found[0]), label))
         ws = [fit_logistic(np.concatenate(t), np.concatenate(s)) for t, s in zip(train, said, strict=True)]
     judged = held if held.any() else np.ones(len(y), bool)
     z = [logits(v[judged], w) for v, w in zip(views, ws, strict=True)]
@@ -119,49 +141,96 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], se
     return {"text": ws[0], "meta": ws[1], "platt": np.array(platt), "both": both}
 
 
-def _sample(docs: DataFrame, labels: DataFrame, label: str):
-    """Dense views of the bounded samples."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    order = F.xxhash64("doc_id")
-    some = known.orderBy(order, "doc_id").limit(LABELLED)
-    ids = docs.where("doc_id is not null").select("doc_id")
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL).select("doc_id", F.lit(None).cast("double").alias("y"))
-    picked = some.unionByName(pool)
+def _wide(got: pa.Table) -> list[np.ndarray]:
+    """Dense views of a bounded number of rows."""
+    both = [_dense(v) for v in _unpacked(got)]
+    return [np.array([b[k] for b in both], np.float32) for k in (0, 1)]
 
-    def dense(batches):
-        cache = WordHashes()
-        for batch in batches:
-            for chunk in chunks(iter([batch])):
-                out = [_dense(v) for v in _views(chunk, cache)]
-                yield pa.RecordBatch.from_arrays([chunk.column("y"), *(pa.array([o[k].astype("<f2").tobytes() for o in out]) for k in (0, 1))], names=["y", "a", "b"])
 
-    joined = docs.join(F.broadcast(picked), "doc_id").select("y", "text", *_META)  # LABELLED + POOL ids
-    got = joined.mapInArrow(dense, "y double, a binary, b binary").toPandas()
-    wide = [np.stack([np.frombuffer(x, "<f2") for x in got[c]]).astype(np.float32) if len(got) else np.zeros((0, 1), np.float32) for c in ("a", "b")]
-    y = got["y"].to_numpy(float) if len(got) else np.zeros(0)
-    k = ~np.isnan(y)
-    return [w[k] for w in wide], y[k], [w[~k] for w in wide]
+def _surest(rows: DataFrame):
+    """For co_train(): scores all unlabelled rows in the executors and takes the surest of each class and view."""
+    taken: set[int] = set()
+    #: What a list may lose to the two of the other view.
+    most = 3 * HANDED_OVER
+
+    def best(batches):
+        """The surest texts of a partition for each view and class, once each."""
+        t, e = model.value
+        lists: dict[tuple[int, int], dict[int, tuple[float, int]]] = {(k, c): {} for k in (0, 1) for c in (1, 0)}
+        for batch in batches:
+            keys, ids = batch.column("text_key").to_numpy().tolist(), batch.column("row").to_numpy().tolist()
+            for key, row, views in zip(keys, ids, _unpacked(batch), strict=True):
+                if key in gone:
+                    continue
+                for k, p in enumerate(sigmoid(np.array(_logit(views, t, e)))):
+                    c = int(p >= 0.5)
+                    if (p if c else 1 - p) >= SURE:
+                        new = (float(-p if c else p), row)
+                        old = lists[k, c].get(key)
+                        if old is None or new < old:
+                            lists[k, c][key] = new
+            for at, one in lists.items():
+                if len(one) > 4 * most:
+                    lists[at] = dict(sorted(one.items(), key=lambda x: (x[1][0], x[0]))[:most])
+        for (k, c), one in lists.items():
+            top = sorted(one.items(), key=lambda x: (x[1][0], x[0]))[:most]
+            yield pa.RecordBatch.from_pydict({
+                "k": pa.array([k] * len(top), pa.int32()), "c": pa.array([c] * len(top), pa.int32()), "text_key": pa.array([x[0] for x in top], pa.int64()),
+                "far": pa.array([x[1][0] for x in top], pa.float64()), "row": pa.array([x[1][1] for x in top], pa.int64()),
+            })
+
+    def surest(ws):
+        nonlocal model, gone
+        model, gone = rows.sparkSession.sparkContext.broadcast(ws), frozenset(taken)
+        free = rows.where("y is null and doc_id is not null").select("row", "text_key", *[n for n, _ in _KINDS])
+        found = free.mapInArrow(best, "k int, c int, text_key long, far double, row long")
+        found = settle(found.groupBy("k", "c", "text_key").agg(F.min(F.struct("far", "row")).alias("x")))
+        picked = {}
+        for k in (0, 1):
+            for c in (1, 0):
+                top = found.where((F.col("k") == k) & (F.col("c") == c)).orderBy("x.far", "text_key").limit(most).select("text_key", "x.row").collect()
+                mine = [r for r in top if r["text_key"] not in taken][:HANDED_OVER]
+                taken.update(r["text_key"] for r in mine)
+                picked |= {r["row"]: (k, c) for r in mine}
+        release(found)
+        if not picked:
+            return []
+        got = free.where(F.col("row").isin(list(picked))).dropDuplicates(["row"]).orderBy("row").toArrow()  # 4 x HANDED_OVER rows at most
+        views, lists = _wide(got), [picked[r] for r in got.column("row").to_pylist()]
+        at = {x: [i for i, y in enumerate(lists) if y == x] for x in sorted(set(lists))}
+        return [(k, float(c), [v[i] for v in views]) for (k, c), i in at.items()]
+
+    model, gone = None, frozenset()
+    return surest
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, text_score, meta_score, score: probabilities that the label is 1."""
-    docs = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    model = docs.sparkSession.sparkContext.broadcast(co_train(*_sample(docs, labels, label)))
+    row = F.xxhash64("doc_id", "text", *_META).alias("row")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("double").alias("y"))
+    rows = docs.select("*", row, F.xxhash64("text").alias("text_key")).mapInArrow(_kept_views, _KEPT)
+    # rows without an id are dealt by their hash, and meet no label
+    rows = settle(rows.join(known, (F.coalesce("doc_id", "row") == F.col("id")) & F.col("doc_id").isNotNull(), "left").drop("id"))
+    some = known.orderBy(F.xxhash64("id"), "id").limit(LABELLED).select(F.col("id").alias("doc_id"))
+    got = rows.join(F.broadcast(some), "doc_id").orderBy("doc_id", "row").toArrow()  # the rows of LABELLED ids
+    y = np.array(got.column("y").to_pylist(), float)
+    model = docs.sparkSession.sparkContext.broadcast(co_train(_wide(got), y, _surest(rows)))
 
     def apply(batches):
-        cache, m = WordHashes(), model.value
-        for chunk in chunks(batches):
+        m = model.value
+        for chunk in batches:
             out = []
-            for words, content, values, numbers in _views(chunk, cache):
+            for kept in _unpacked(chunk):
                 if m is None:
                     out.append((0.5, 0.5, 0.5))
                     continue
-                t, e = m["text"], m["meta"]
-                z = 30.0 / max(len(words), 1) * t[words].sum() + content @ t[WORDS:-1] + t[-1]
-                u = e[values].sum() + numbers @ e[VALUES:-1] + e[-1]
+                z, u = _logit(kept, m["text"], m["meta"])
                 views = m["platt"][:, 0] * (z, u) + m["platt"][:, 1]
                 out.append((*sigmoid(views), sigmoid(views @ m["both"][:-1] + m["both"][-1])))
+            if not out:
+                continue
             cols = [pa.array(np.array(c, float)) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id").cast(pa.int64()), *cols], names=["doc_id", "text_score", "meta_score", "score"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *cols], names=["doc_id", "text_score", "meta_score", "score"])
 
-    return docs.mapInArrow(apply, "doc_id long, text_score double, meta_score double, score double")
+    return rows.select("doc_id", *[n for n, _ in _KINDS]).mapInArrow(apply, "doc_id long, text_score double, meta_score double, score double")

@@ -63,3 +63,27 @@ def test_cotraining(spark):
         assert np.mean([(r[name] > 0.5) == y for y, r in test]) >= least, name
     alone = cotraining.classify(df, lab.where("quality = 1")).first()
     assert alone.score == 0.5 and cotraining.classify(df.limit(0), lab).count() == 0
+
+
+def test_cotraining_searches_all_unlabelled(spark):
+    """The surest unlabelled texts are handed over, once each, wherever they stand among more than 5,000."""
+    from lodestone.llm.shared import settle
+
+    rng = np.random.default_rng(2)
+    text = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 300, k))
+    docs = [(i, text(12), "en", "s0", 60) for i in range(7000)]
+    docs += [(10_000 + i, f"rare{i} gold gold gold gold gold " + text(4), "en", "s1", 60) for i in range(40)] + [(20_000 + i, docs[0][1], "en", "s0", 60) for i in range(500)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    rows = rows.selectExpr("*", "xxhash64(doc_id, text, lang, source, n_chars) AS row", "xxhash64(text) AS text_key").mapInArrow(cotraining._kept_views, cotraining._KEPT)
+    rows = settle(rows.selectExpr("*", "CAST(null AS double) AS y"))
+    gold = cotraining.WordHashes()[b"gold"] % cotraining.WORDS
+    wide = [cotraining._dense(v) for v in cotraining._unpacked(rows.limit(1).toArrow())]
+    ws = [np.zeros(len(w) + 1) for w in wide[0]]
+    ws[0][int(gold)], ws[0][-1] = 2.0, -6.0
+    surest = cotraining._surest(rows)
+    given = {(k, c): found for k, c, found in surest(ws)}
+    assert set(given) == {(0, 1.0), (0, 0.0)}
+    assert len(given[0, 1.0][0]) == 40 and (given[0, 1.0][0][:, int(gold)] > 10).all()
+    assert len(given[0, 0.0][0]) == cotraining.HANDED_OVER
+    again = {(k, c): found for k, c, found in surest(ws)}
+    assert set(again) == {(0, 0.0)} and len(again[0, 0.0][0]) == cotraining.HANDED_OVER
