@@ -2,13 +2,14 @@
 
 The tree is fitted on at most ``SAMPLE`` vectors and broadcast; every vector is put in a leaf. A query
 walks the tree best bin first: a priority queue holds nodes by the distance of their centre, the
-nearest is opened next, and leaves are visited until their number reaches the one calibrated on the
-sample (the least whose recall there is ``RECALL``) and they hold enough vectors. Queries meet the
+nearest is opened next, and leaves are visited until their number reaches the calibrated one and they
+hold enough vectors. That number is the least whose recall is ``RECALL`` on as many vectors again, which the
+tree wasn't fitted on (on the sample itself where the table has no more): centres are nearer to what they were fitted on. Queries meet the
 vectors of their leaves by a join on the leaf, in blocks; within a block, of vectors that are equal
 only the ones with the smallest ids are kept that can be among the nearest.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite
-components take no part, nor do rows without an id; rows with one id are one candidate; with
+components take no part, nor do rows without an id; rows with one id are one candidate, at the nearest of its vectors; with
 fewer candidates than k all are returned; an empty table gives no rows.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import settle
 
 #: Vectors the tree is fitted on at most, children of a node, sample vectors in a leaf at most.
-SAMPLE, BRANCH, LEAF = 20_000, 16, 192
+SAMPLE, BRANCH, LEAF = 20_000, 16, 48
 RECALL, CALIBRATED_ON = 0.96, 400
 BLOCK = 256
 
@@ -129,12 +130,15 @@ def _vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fewest(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows without those that more than k equal vectors with smaller ids stand before."""
+    """Rows without repeats of an id's vector, and without those that more than k other ids with equal vectors and smaller ids stand before."""
     order = np.lexsort((ids, *x.T[: min(8, x.shape[1])]))
     same = np.zeros(len(order), bool)
     same[1:] = (x[order[1:]] == x[order[:-1]]).all(1)
-    start = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
-    return order[np.arange(len(order)) - start <= k]
+    new = ~same
+    new[1:] |= ids[order[1:]] != ids[order[:-1]]
+    count = np.cumsum(new)
+    before = count - np.maximum.accumulate(np.where(~same, count, 0))
+    return order[new & (before <= k)]
 
 
 def _blocks(leaf: np.ndarray, ids: np.ndarray, x: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +158,11 @@ def _close(qids, q, ids, x, k: int, limits) -> tuple[np.ndarray, np.ndarray, np.
     room = 1e-9 * (1 + (x**2).sum(1).max() + (q**2).sum(1).max())
     gaps[qids[:, None] == ids] = np.inf
     most = np.full(len(qids), np.inf)
-    if len(ids) > k:
-        most = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, ids[order[1:]] != ids[order[:-1]]))
+    if len(first) > k:  # an id with several vectors is one candidate, at its nearest
+        nearest_of = gaps if len(first) == len(ids) else np.minimum.reduceat(gaps[:, order], first, axis=1)
+        most = np.partition(nearest_of, k - 1, axis=1)[:, k - 1]
     known, limit = limits
     if len(known):
         at = np.minimum(np.searchsorted(known, qids), len(known) - 1)
@@ -167,11 +174,13 @@ def _close(qids, q, ids, x, k: int, limits) -> tuple[np.ndarray, np.ndarray, np.
 def _best(held: list, k: int):
     """The k nearest of each query so far, and for each query that has k the distance of the last."""
     qid, vid, gap = (np.concatenate(c) for c in zip(*held, strict=True))
-    order = np.lexsort((vid, gap, qid))
+    order = np.lexsort((gap, vid, qid))
     qid, vid, gap = qid[order], vid[order], gap[order]
     new = np.ones(len(qid), bool)
-    new[1:] = (qid[1:] != qid[:-1]) | (vid[1:] != vid[:-1]) | (gap[1:] != gap[:-1])
+    new[1:] = (qid[1:] != qid[:-1]) | (vid[1:] != vid[:-1])  # an id counts once, at its nearest
     qid, vid, gap = qid[new], vid[new], gap[new]
+    order = np.lexsort((vid, gap, qid))
+    qid, vid, gap = qid[order], vid[order], gap[order]
     first = np.flatnonzero(np.append(True, qid[1:] != qid[:-1])) if len(qid) else np.zeros(0, int)
     place = np.arange(len(qid)) - np.repeat(first, np.diff(np.append(first, len(qid))))
     full = place == k - 1
@@ -190,10 +199,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 1) -
     lengths = valid(vectors).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = lengths[0]["d"] if lengths else 1
     rows, asked = (valid(df).where(F.size("v") == dim) for df in (vectors, queries))
-    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).toPandas()
+    picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * SAMPLE).toPandas()
     sample = np.array(picked["v"].tolist(), float).reshape(-1, dim)
+    sample, other = sample[:SAMPLE], sample[SAMPLE:]
     tree = Tree(sample, seed)
-    visits = calibrate(tree, sample, k, np.random.default_rng(seed)) if len(sample) else 1
+    judged = other if len(other) >= SAMPLE // 4 else sample
+    visits = calibrate(tree, judged, k, np.random.default_rng(seed)) if len(sample) else 1
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
