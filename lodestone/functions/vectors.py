@@ -39,7 +39,7 @@ def l2(a) -> Column:
 def normalised(a) -> Column:
     """Divided by its length, or by FLOOR if that is larger."""
     a = _col(a)
-    return F.transform(a, lambda x: x / F.greatest(l2(a), F.lit(FLOOR)))
+    return F.transform(F.array(F.greatest(l2(a), F.lit(FLOOR))), lambda size: F.transform(a, lambda x: x / size))[0]
 
 
 def rotated(re, im, r_re, r_im) -> tuple[Column, Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.similarity import tokens
+from lodestone.plans.lineage import settle
 
 PRIME = (1 << 31) - 1
 #: Seed of the hash family; it fixes the signatures.
@@ -84,7 +85,7 @@ def neighbourhood_pairs(records: DataFrame, window: int = 5, key: Column | None
     so nothing but these edges leaves its partition."""
     key = default_key(records) if key is None else key
     ordered = records.select(key.alias("k"), F.col(ordinal).alias("o"), "record_id").repartitionByRange("k", "o").sortWithinPartitions("k", "o")
-    ordered = ordered.withColumn("part", F.spark_partition_id())
+    ordered = settle(ordered.withColumn("part", F.spark_partition_id()))  # both branches below must see the same parts
     within = Window.partitionBy("part").orderBy("k", "o")
     ahead = F.array(*[F.lead("record_id", d).over(within) for d in range(1, window)])
     numbered = ordered.withColumn("ahead", ahead).withColumn("n", F.row_number().over(within)).withColumn("rest", F.count(F.lit(1)).over(Window.partitionBy("part")) - F.col("n"))

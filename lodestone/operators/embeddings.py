@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +66,14 @@ def _table(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("id"))
 
 
+def _one(table: DataFrame, i: int, name: str) -> list[float] | None:
+    row = table.where(F.col("id") == i).select(name).first()
+    return None if row is None else list(row[0])
+
+
 class TransE:
+    """Vectors are read with ``entity`` and ``relation``; of no id they have none."""
+
     def __init__(self, entities: DataFrame, relations: DataFrame, config: TransEConfig | None = None):
         self.entities, self.relations, self.config = entities, relations, config or TransEConfig()
 
@@ -76,6 +85,12 @@ class TransE:
         rels = _table(spark, n_relations).withColumn("vec", _uniform(n_relations, c.dim, -bound, bound, c.seed, "r"))
         return cls(settle(ents), settle(rels), c)
 
+    def entity(self, i: int) -> list[float] | None:
+        return _one(self.entities, i, "vec")
+
+    def relation(self, i: int) -> list[float] | None:
+        return _one(self.relations, i, "vec")
+
     def distance(self, h: Column, r: Column, t: Column) -> Column:
         gap = V.minus(V.plus(h, r), t)
         return V.l1(gap) if self.config.norm == 1 else V.l2(gap)
@@ -83,6 +98,13 @@ class TransE:
     def score_columns(self, h: str, r: str, t: str) -> Column:
         return -self.distance(F.col(f"{h}.vec"), F.col(f"{r}.vec"), F.col(f"{t}.vec"))
 
+    def moved(self, h: str, r: str) -> Column:
+        """Where the relation takes the head; a triple's score is the distance from there, negated."""
+        return V.plus(F.col(f"{h}.vec"), F.col(f"{r}.vec"))
+
+    def flat(self, x: str) -> Column:
+        return F.col(f"{x}.vec")
+
     def normalise_entities(self) -> DataFrame:
         return self.entities.withColumn("vec", V.normalised("vec"))
 
@@ -135,6 +157,10 @@ class RotatE:
         rels = rels.select("id", F.transform("phase", lambda x: F.cos(x)).alias("re"), F.transform("phase", lambda x: F.sin(x)).alias("im"))
         return cls(settle(ents), settle(rels), c)
 
+    def entity(self, i: int) -> list[complex] | None:
+        re, im = (_one(self.entities, i, c) for c in ("re", "im"))
+        return None if re is None else [complex(a, b) for a, b in zip(re, im, strict=True)]
+
     def gaps(self, h: str, r: str, t: str) -> tuple[Column, Column]:
         re, im = V.rotated(f"{h}.re", f"{h}.im", f"{r}.re", f"{r}.im")
         return V.minus(re, F.col(f"{t}.re")), V.minus(im, F.col(f"{t}.im"))
@@ -142,6 +168,12 @@ class RotatE:
     def score_columns(self, h: str, r: str, t: str) -> Column:
         return -V.complex_distance(*self.gaps(h, r, t))
 
+    def moved(self, h: str, r: str) -> Column:
+        return F.concat(*V.rotated(f"{h}.re", f"{h}.im", f"{r}.re", f"{r}.im"))
+
+    def flat(self, x: str) -> Column:
+        return F.concat(F.col(f"{x}.re"), F.col(f"{x}.im"))
+
     def project_relations(self) -> DataFrame:
         re, im = V.on_unit_circle("re", "im")
         return self.relations.select("id", re.alias("re"), im.alias("im"))
@@ -185,16 +217,27 @@ def corrupt(triples: DataFrame, n_entities: int, seed: int = 42, epoch: int = 0)
     return triples.withColumn("nh", F.when(head, other).otherwise(F.col("h"))).withColumn("nt", F.when(head, F.col("t")).otherwise(other))
 
 
+def in_batches(triples: DataFrame, size: int, seed: int, epoch: int, cells: int = 4096) -> DataFrame:
+    """Adds batch: the row's place in a seeded order, by size. Rows are numbered within cells of the order, whose
+    counts (a row for each of ``cells``) give where they begin, so no task sorts all rows."""
+    draw = F.xxhash64("h", "r", "t", F.lit(seed), F.lit(epoch))
+    dealt = triples.withColumn("__draw", draw).withColumn("__cell", F.pmod("__draw", F.lit(cells)).cast("int"))
+    own = F.row_number().over(Window.partitionBy("__cell").orderBy("__draw", "h", "r", "t"))
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    placed = dealt.withColumn("__place", own).join(F.broadcast(starts), "__cell")
+    return placed.withColumn("batch", F.floor((F.col("__start") + F.col("__place") - 1) / size)).drop("__draw", "__cell", "__place", "__start")
+
+
 def train(model, triples: DataFrame, n_entities: int, config: TrainerConfig | None = None, verbose: bool = False):
-    """The trained model and its losses. Batches are stretches of a seeded order, dealt by one range partitioning an epoch."""
+    """The trained model and its losses. Batches are stretches of a seeded order (see ``in_batches``)."""
     c = config or TrainerConfig()
     if c.epochs < 1:
         raise ValueError("at least one epoch")
     result = TrainResult()
     n = triples.count()
     for epoch in range(c.epochs):
-        place = F.row_number().over(Window.orderBy(F.xxhash64("h", "r", "t", F.lit(c.seed), F.lit(epoch)), "h", "r", "t"))
-        shuffled = settle(corrupt(triples, n_entities, c.seed, epoch).withColumn("batch", F.floor((place - 1) / c.batch_size)))
+        shuffled = settle(in_batches(corrupt(triples, n_entities, c.seed, epoch), c.batch_size, c.seed, epoch))
         losses = []
         for b in range(-(-n // c.batch_size)):
             model, loss = model.step(shuffled.where(F.col("batch") == b).drop("batch"))
@@ -260,22 +303,33 @@ def predict_relation(model, head: int, tail: int, top_k: int = 5, vocab: DataFra
     return _ranked(rows.select("id", model.score_columns("_h", "_x", "_t").alias("score")), top_k, F.asc("id"), vocab, "rel_")
 
 
-def ranks(model, triples: DataFrame, block: int = 256) -> DataFrame:
+def ranks(model, triples: DataFrame, block: int = 4096) -> DataFrame:
     """triples with rank: how many entities score at least as well as their tail.
 
-    Test triples meet all entities in blocks of a fixed size, which are broadcast; counts are combined
-    before the shuffle."""
-    scored = triples.join(_parts(model.entities, "h", "_h"), "h").join(_parts(model.relations, "r", "_r"), "r").join(_parts(model.entities, "t", "_t"), "t")
-    scored = settle(scored.select("h", "r", "t", "_h", "_r", model.score_columns("_h", "_r", "_t").alias("own")).withColumn("__k", F.monotonically_increasing_id()))
-    n, out = scored.count(), None
-    keys = F.floor(F.row_number().over(Window.orderBy("__k")) / block)
-    numbered = settle(scored.withColumn("__b", keys))
-    ents = model.entities.select(F.struct(*[c for c in model.entities.columns if c != "id"]).alias("_x"))
-    for b in range(n // block + 1):
-        part = numbered.where(F.col("__b") == b)
-        met = ents.join(F.broadcast(part), F.lit(True)).groupBy("__k", "h", "r", "t").agg(F.count_if(model.score_columns("_h", "_r", "_x") >= F.col("own")).alias("rank"))
-        out = met if out is None else out.unionByName(met)
-    return out.select("h", "r", "t", F.greatest(F.col("rank"), F.lit(1)).alias("rank"))
+    A score is a distance of the moved head from the entity. Triples and entities are dealt to blocks of about ``block``
+    rows, and each block of the one meets each of the other, as arrays. Repeated triples get a row each."""
+    rows = triples.join(_parts(model.entities, "h", "_h"), "h").join(_parts(model.relations, "r", "_r"), "r").join(_parts(model.entities, "t", "_t"), "t")
+    rows = settle(rows.select("h", "r", "t", model.moved("_h", "_r").alias("q"), model.flat("_t").alias("own")).withColumn("k", F.monotonically_increasing_id()))
+    n, m = (max(1, -(-df.count() // block)) for df in (rows, model.entities))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = rows.select("k", "q", "own", deal("k", n).alias("a")).withColumn("b", every(m))
+    inner = F.struct(*[c for c in model.entities.columns if c != "id"]).alias("_x")
+    right = model.entities.select(deal("id", m).alias("b"), inner).select("b", model.flat("_x").alias("x")).withColumn("a", every(n))
+    power = model.config.norm if isinstance(model, TransE) else 2
+
+    def count(asked: pa.Table, known: pa.Table) -> pa.Table:
+        wide = lambda c: np.array(c.combine_chunks().flatten()).reshape(len(c), -1)
+        size = lambda d: np.abs(d).sum(-1) if power == 1 else np.sqrt((d * d).sum(-1))
+        if not len(asked) or not len(known):
+            return pa.table({"k": asked.column("k"), "better": pa.array([0] * len(asked), pa.int64())})
+        q, own, x = wide(asked.column("q")), wide(asked.column("own")), wide(known.column("x"))
+        better = [int((size(one - x) <= size((one - t)[None])[0]).sum()) for one, t in zip(q, own, strict=True)]
+        return pa.table({"k": asked.column("k"), "better": pa.array(better, pa.int64())})
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(count, "k long, better long")
+    met = met.groupBy("k").agg(F.sum("better").alias("rank"))
+    return rows.join(met, "k").select("h", "r", "t", F.greatest(F.col("rank"), F.lit(1)).alias("rank"))
 
 
 def evaluate(model, triples: DataFrame, ks=(1, 3, 10)) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.graph import FactGraph
-from lodestone.plans.lineage import settle
+from lodestone.plans.lineage import release, settle
 
 HOP = "struct<src:string,rel:string,dst:string>"
 
@@ -36,8 +36,7 @@ def shortest_path(graph: FactGraph, source: str, target: str, max_depth: int = 1
     """One row: source, target, path, length (-1 if there is none) and reachable. Of several shortest paths the smallest is taken."""
     if source == target:
         return _answer(graph, source, target, 0)
-    steps, spark = edges(graph, relations, directed), graph.facts.sparkSession
-    steps = settle(steps)
+    steps, spark, levels = edges(graph, relations, directed), graph.facts.sparkSession, []
     front = spark.createDataFrame([(source, [])], f"node string, path array<{HOP}>")
     seen = front.select("node")
     for depth in range(1, max_depth + 1):
@@ -45,13 +44,13 @@ def shortest_path(graph: FactGraph, source: str, target: str, max_depth: int = 1
         ahead = front.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.array(hop)).alias("path"))
         ahead = ahead.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         front = settle(ahead)
+        levels.append(front)
         hit = front.where(F.col("node") == target).select("path").first()
-        if hit:
-            return _answer(graph, source, target, depth, [tuple(h) for h in hit["path"]])
-        if not front.limit(1).count():
+        if hit or not front.limit(1).count():
             break
         seen = seen.unionByName(front.select("node"))
-    return _answer(graph, source, target, -1)
+    release(*levels)
+    return _answer(graph, source, target, depth, [tuple(h) for h in hit["path"]]) if levels and hit else _answer(graph, source, target, -1)
 
 
 def reachable(graph: FactGraph, source: str, target: str, max_depth: int = 10, relations: Iterable[str] | None = None) -> bool:
@@ -67,7 +66,7 @@ def within(graph: FactGraph, source: str, depth: int, relations: Iterable[str] |
     out = spark.createDataFrame([], "node string, distance int")
     if depth < 1:
         return out
-    steps = settle(edges(graph, relations).select("src", "dst").distinct())
+    steps = edges(graph, relations).select("src", "dst")
     front = spark.createDataFrame([(source,)], "node string")
     seen = front
     for d in range(1, depth + 1):
@@ -92,7 +91,7 @@ def simple_paths(graph: FactGraph, source: str, target: str, max_depth: int = 5,
     found = spark.createDataFrame([], f"path array<{HOP}>, length int")
     if source == target:
         return found
-    steps = settle(edges(graph, relations))
+    steps = edges(graph, relations)
     front = spark.createDataFrame([(source, [source], [])], f"node string, nodes array<string>, path array<{HOP}>")
     for d in range(1, max_depth + 1):
         hop = F.struct("src", "rel", "dst").cast(HOP)

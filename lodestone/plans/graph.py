@@ -22,6 +22,7 @@ class FactGraph:
         """distinct: the caller knows that no fact is repeated, which saves the shuffle."""
         facts = facts.select(*COLUMNS)
         self.facts = facts if distinct else facts.distinct()
+        self._shape: dict[Pattern, tuple[float, dict[str, float]]] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, rows: Iterable[tuple[str, str, str]]) -> FactGraph:
@@ -83,6 +84,22 @@ class FactGraph:
             F.count(F.lit(1)).alias("facts"), F.countDistinct("subject").alias("subjects"), F.countDistinct("object").alias("objects")
         )
 
+    def shapes(self, patterns: list[Pattern]) -> list[tuple[float, dict[str, float]]]:
+        """For each pattern about how many facts match and how many values each variable takes, kept for later queries.
+
+        One pass with approximate distinct counts for all patterns that aren't known yet; it has no shuffle of facts."""
+        new = [p for p in dict.fromkeys(patterns) if p not in self._shape]
+        if new:
+            found = [reduce(Column.__and__, self._tests(p), F.lit(True)) for p in new]
+            places = [[(c, t) for c, t in zip(COLUMNS, p.terms, strict=True) if is_variable(t)] for p in new]
+            counts = [F.count_if(f).cast("double") for f in found]
+            values = [F.approx_count_distinct(F.when(f, F.col(c)), 0.1).cast("double") for f, own in zip(found, places, strict=True) for c, _ in own]
+            row = list(self.facts.agg(*[x.alias(f"x{k}") for k, x in enumerate(counts + values)]).first())
+            rest = iter(row[len(new) :])
+            for p, n, own in zip(new, row[: len(new)], places, strict=True):
+                self._shape[p] = (n, {v: min(max(next(rest), 1.0), max(n, 1.0)) for _, v in own})
+        return [self._shape[p] for p in patterns]
+
     # ---- queries
 
     def plan(self, query: PatternQuery) -> DataFrame:
@@ -104,17 +121,29 @@ class FactGraph:
         if not query.patterns:
             return spark.createDataFrame([], T.StructType([]))
         patterns = query.patterns
-        order = join_order(patterns, self.counts(patterns)) if len(patterns) > 1 else [0]
-        out = None
-        for i in order:
-            scan, names = self._scan(patterns[i])
-            if out is None:
-                out = scan if names else scan.limit(1).select(F.lit(1).alias("__hit"))
-            elif not names:
-                out = out.join(scan.limit(1), F.lit(True), "left_semi")
-            else:
-                shared = [n for n in names if n in out.columns]
-                out = out.join(scan, shared) if shared else out.crossJoin(scan)
+        scans = [self._scan(p) for p in patterns]
+        open_, fixed = ([i for i, (_, names) in enumerate(scans) if bool(names) == some] for some in (True, False))
+        wanted = {v[1:] for v in query.select}
+
+        def build(tree) -> tuple[DataFrame, set[int]]:
+            if isinstance(tree, int):
+                return scans[tree][0], {tree}
+            (a, left), (b, right) = map(build, tree)
+            shared, inside = [c for c in b.columns if c in a.columns], left | right
+            out = a.join(b, shared) if shared else a.crossJoin(b)
+            # a variable that nothing needs any more only repeats rows
+            alive = [c for c in out.columns if c in wanted or any(c in scans[i][1] for i in open_ if i not in inside)]
+            if alive and len(alive) < len(out.columns) and len(inside) < len(open_):
+                out = out.select(*alive).distinct()
+            return out, inside
+
+        if open_:
+            shapes = self.shapes([patterns[i] for i in open_]) if len(open_) > 1 else [(0.0, {})]
+            out = build(join_tree(dict(zip(open_, shapes, strict=True))))[0]
+        else:
+            out = scans[fixed.pop()][0].limit(1).select(F.lit(1).alias("__hit"))
+        for i in fixed:
+            out = out.join(scans[i][0].limit(1), F.lit(True), "left_semi")
         kept = [v[1:] for v in dict.fromkeys(query.select) if v[1:] in out.columns]
         if not kept:
             return out.limit(1).select()
@@ -127,6 +156,15 @@ class FactGraph:
 
     def _scan(self, pattern: Pattern) -> tuple[DataFrame, list[str]]:
         """The pattern's matches, a column for each of its variables."""
+        tests = self._tests(pattern)
+        found = self.facts.where(reduce(Column.__and__, tests)) if tests else self.facts
+        at = {v: c for c, v in reversed(list(zip(COLUMNS, pattern.terms, strict=True))) if is_variable(v)}
+        names = list(dict.fromkeys(pattern.variables))
+        return found.select(*[F.col(at[v]).alias(v[1:]) for v in names]), [v[1:] for v in names]
+
+    @staticmethod
+    def _tests(pattern: Pattern) -> list[Column]:
+        """What a fact must fulfil to match."""
         at: dict[str, str] = {}
         tests = []
         for column, term in zip(COLUMNS, pattern.terms, strict=True):
@@ -137,8 +175,7 @@ class FactGraph:
                 tests.append(F.col(column) == F.col(at[term]))
             else:
                 at[term] = column
-        found = self.facts.where(reduce(Column.__and__, tests)) if tests else self.facts
-        return found.select(*[F.col(c).alias(v[1:]) for v, c in at.items()]), [v[1:] for v in at]
+        return tests
 
 
 def _estimated(pattern: Pattern) -> Column:
@@ -157,3 +194,26 @@ def join_order(patterns: list[Pattern], counts: list[int]) -> list[int]:
         order.append(best)
         known |= set(patterns[best].variables)
     return order
+
+
+def join_tree(shapes: dict[int, tuple[float, dict[str, float]]]):
+    """Pairs of pairs of the shapes' keys: always the two parts are joined whose join is estimated smallest,
+    parts that share a variable first.
+
+    Two tables that share variables are taken to give |A| |B| / (the larger number of values, for each of them)."""
+
+    def joined(a, b):
+        (n, x), (m, y) = a, b
+        out = n * m
+        for v in x.keys() & y.keys():
+            out /= max(x[v], y[v])
+        return out, {v: max(1.0, min(x.get(v, out), y.get(v, out), out)) for v in x | y}
+
+    parts = [(i, s) for i, s in shapes.items()]
+    while len(parts) > 1:
+        pairs = [(j, k) for k in range(len(parts)) for j in range(k)]
+        apart = lambda j, k: not parts[j][1][1].keys() & parts[k][1][1].keys()
+        j, k = min(pairs, key=lambda p: (apart(*p), joined(parts[p[0]][1], parts[p[1]][1])[0], p))
+        new = ((parts[j][0], parts[k][0]), joined(parts[j][1], parts[k][1]))
+        parts = [p for i, p in enumerate(parts) if i not in (j, k)] + [new]
+    return parts[0][0]

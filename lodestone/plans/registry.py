@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import similarity as S
+from lodestone.functions import vectors as V
 from lodestone.operators import blocking, embeddings, matching, paths
 from lodestone.plans.graph import FACT, FactGraph
+from lodestone.plans.lineage import shared_folder
 from lodestone.plans.patterns import parse
 from lodestone.sources import formats
 
@@ -209,6 +212,27 @@ def ttl_parse(spark, sf_dir):
     return text.mapInPandas(read, FACT)
 
 
+@query("load_count", T + f"SELECT (SELECT count(*) FROM ({_NEW} EXCEPT SELECT * FROM t)) AS added, (SELECT count(*) FROM (SELECT * FROM t WHERE p = 'inRegion' UNION {_NEW})) AS size")
+def load_count(spark, sf_dir):
+    graph, added = formats.load(facts(spark, sf_dir, {"inRegion"}), _more_facts(spark, sf_dir))
+    return spark.createDataFrame([(added, graph.size())], "added long, size long")
+
+
+for _fmt in ("nt", "jsonld"):
+
+    @query(f"export_{_fmt}", T + (""" SELECT '<' || s || '> <' || p || '> "' || o || '" .' AS line FROM t WHERE p = 'inRegion'""" if _fmt == "nt" else """ SELECT '{"@id": "' || s || '", "inRegion": "' || o || '"}' AS line FROM t WHERE p = 'inRegion'"""))
+    def export(spark, sf_dir, fmt=_fmt):
+        return formats.export(facts(spark, sf_dir, {"inRegion"}), fmt)
+
+
+@query("csv_records", "SELECT CAST(n_nationkey AS VARCHAR) AS record_id, n_name AS name FROM nation")
+def csv_records(spark, sf_dir):
+    """Written as CSV to the shared folder and read as records."""
+    path = f"{shared_folder(spark)}/lodestone-csv-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).write.csv(path, header=True)
+    return formats.read_records(spark, path, key="key")
+
+
 @query("expand_prefixed", "SELECT 'http://s.org/' || s_suppkey AS iri, 'x:' || s_suppkey AS unknown FROM supplier")
 def expand_prefixed(spark, sf_dir):
     names = formats.Namespaces({"s": "http://s.org/"})
@@ -233,7 +257,7 @@ _PATTERNS = {
         "WHERE a.p = 'supplies' AND b.p = 'contains' AND c.p = 'placedBy' AND d.p = 'inNation' AND e.p = 'inNation'",
     ),
     "bgp_predvar": ("SELECT ?p ?o WHERE { customer:7 ?p ?o }", "SELECT DISTINCT p, o FROM t WHERE s = 'customer:7'"),
-    "bgp_samevar": ("SELECT ?x ?p WHERE { ?x ?p ?x }", "SELECT DISTINCT s AS x, p FROM t WHERE s = o"),
+    "bgp_samevar": ("SELECT ?x ?p WHERE { ?x ?p ?x }", "SELECT DISTINCT s AS x, p FROM e WHERE s = o"),
     "bgp_cross": (
         "SELECT ?a ?b WHERE { ?a inRegion region:1 . ?b inRegion region:2 }",
         "SELECT DISTINCT a.s AS a, b.s AS b FROM t a, t b WHERE a.p = 'inRegion' AND a.o = 'region:1' AND b.p = 'inRegion' AND b.o = 'region:2'",
@@ -255,24 +279,31 @@ _PATTERNS = {
     ),
 }
 
+#: Supplier nations that an edge leads to from each customer nation.
+PARTNERS = 4
 E = (
-    "WITH RECURSIVE e AS (SELECT DISTINCT 'nation:' || c_nationkey AS s, 'buysFrom' AS p, 'nation:' || s_nationkey AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
-    "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0.1) "
+    "WITH RECURSIVE e AS (SELECT 'nation:' || c AS s, 'buysFrom' AS p, 'nation:' || n AS o FROM (SELECT c_nationkey AS c, s_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY sum(l_quantity) DESC, s_nationkey) AS k "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey) "
+    f"WHERE k <= {PARTNERS}) "
 )
 
 
 def trade(spark: SparkSession, sf_dir: str) -> FactGraph:
-    """Customer nation buysFrom supplier nation, for large discounted items: a graph with cycles."""
+    """Customer nation buysFrom the supplier nations that it has most from, over all items: a graph with cycles."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    rows = read("lineitem").where("l_quantity = 50 AND l_discount = 0.1").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return FactGraph(rows.select(_term("nation", "c_nationkey").alias("subject"), F.lit("buysFrom").alias("predicate"), _term("nation", "s_nationkey").alias("object")))
+    rows = rows.groupBy("c_nationkey", "s_nationkey").agg(F.sum("l_quantity").alias("q"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("q"), "s_nationkey"))
+    rows = rows.withColumn("k", place).where(F.col("k") <= PARTNERS)
+    return FactGraph(rows.select(_term("nation", "c_nationkey").alias("subject"), F.lit("buysFrom").alias("predicate"), _term("nation", "s_nationkey").alias("object")), distinct=True)
 
 
+_TRADE = ("bgp_cycle", "bgp_samevar")
 for _name, (_text, _sql) in _PATTERNS.items():
 
-    @query(_name, (E if _name == "bgp_cycle" else T) + _sql)
-    def bgp(spark, sf_dir, text=_text, graph=trade if _name == "bgp_cycle" else facts):
+    @query(_name, (E if _name in _TRADE else T) + _sql)
+    def bgp(spark, sf_dir, text=_text, graph=trade if _name in _TRADE else facts):
         return graph(spark, sf_dir).query(text)
 
 
@@ -447,6 +478,30 @@ def er_statistics(spark, sf_dir):
     return matching.link_statistics(_clusters(spark, sf_dir))
 
 
+@query("er_link", _CLUSTERED + """, w AS (SELECT canonical_id, string_agg(id1 || '-' || id2 || '=' || CAST(round(similarity, 6) AS DECIMAL(9, 6)), ',' ORDER BY id1, id2) AS matches FROM m JOIN l ON l.record_id = id1 WHERE similarity >= 0.965 GROUP BY canonical_id)
+    SELECT canonical_id, string_agg(record_id, ',' ORDER BY record_id) AS members, coalesce(max(w.matches), '') AS matches FROM l LEFT JOIN w USING (canonical_id) GROUP BY canonical_id""")
+def er_link(spark, sf_dir):
+    """The linking pipeline in one call, blocked by the default key (all fields of the record), with its match lists."""
+    records = _customers(spark, sf_dir).select("record_id", "city", "name")
+    out = matching.link(records, matching.Matcher(threshold=0.965), method="snb", window=5)
+    one = lambda m: F.concat(m["id1"].cast("string"), F.lit("-"), m["id2"].cast("string"), F.lit("="), F.round(m["similarity"], 6).cast("decimal(9,6)").cast("string"))
+    return out.select("canonical_id", F.array_join(F.col("member_ids").cast("array<string>"), ",").alias("members"), F.array_join(F.transform("matches", one), ",").alias("matches"))
+
+
+@query("default_key", "SELECT c_custkey AS record_id, lower(c_mktsegment || ' ' || c_name) AS key FROM customer")
+def default_key(spark, sf_dir):
+    records = _customers(spark, sf_dir).select("record_id", "city", "name")
+    return records.select("record_id", blocking.default_key(records).alias("key"))
+
+
+@query("match_own_similarity", _PAIRED[:-2] + " SELECT least(i, j) AS id1, greatest(i, j) AS id2, CAST(length(x) = length(y) AS INT)::DOUBLE AS similarity FROM c WHERE length(x) = length(y)")
+def match_own_similarity(spark, sf_dir):
+    """With a similarity of the caller's own: names of one length."""
+    records, pairs = _near(spark, sf_dir)
+    own = matching.Field("name", 1.0, lambda a, b: (F.length(a) == F.length(b)).cast("double"))
+    return matching.Matcher([own], threshold=0.5).match(records, pairs).select("id1", "id2", "similarity")
+
+
 @query(
     "similarities",
     """SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INT) AS distance, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS normalised,
@@ -474,18 +529,17 @@ def rotate(spark, sf_dir):
 
 
 def _triples(spark, sf_dir):
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200")
-    return v.select(F.col("vec_id").cast("int").alias("h"), (F.col("vec_id") % 10).cast("int").alias("r"), ((F.col("vec_id") * 7 + 3) % 500).cast("int").alias("t"))
+    """A triple for each row of the table; its number of rows folds the tails."""
+    return _all_triples(spark, sf_dir)[0]
 
 
 def _all_triples(spark, sf_dir):
-    """A triple for each row of the table, and the number of rows, which folds the tails."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     n = v.count()
     return v.select(F.col("vec_id").cast("int").alias("h"), (F.col("vec_id") % 10).cast("int").alias("r"), ((F.col("vec_id") * 7 + 3) % n).cast("int").alias("t")), n
 
 
-_V = "WITH v AS (SELECT CAST(vec_id AS INT) AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), q AS (SELECT CAST(vec_id AS INT) AS h, CAST(vec_id % 10 AS INT) AS r, CAST((vec_id * 7 + 3) % 500 AS INT) AS t FROM embeddings WHERE vec_id < 200), "
+_V = "WITH v AS (SELECT CAST(vec_id AS INT) AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), q AS (SELECT CAST(vec_id AS INT) AS h, CAST(vec_id % 10 AS INT) AS r, CAST((vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS INT) AS t FROM embeddings), "
 _DIFF = "list_transform(range(1, 65), lambda i: a.vec[i] + b.vec[i] - c.vec[i])"
 _L1, _L2 = (f"-{x}" for x in (f"list_sum(list_transform({_DIFF}, lambda x: abs(x)))", f"sqrt(list_sum(list_transform({_DIFF}, lambda x: x * x)))"))
 _FROM = " FROM q JOIN v a ON a.id = q.h JOIN v b ON b.id = q.r JOIN v c ON c.id = q.t"
@@ -560,7 +614,7 @@ def evaluate_metrics(spark, sf_dir):
     return embeddings.evaluate(transe(spark, sf_dir), _triples(spark, sf_dir)).withColumn("mrr", F.round("mrr", 9))
 
 
-@query("transe_step", _V + f"""n AS (SELECT h, r, t, h AS nh, (t * 7 + 3) % 500 AS nt FROM q),
+@query("transe_step", _V + f"""n AS (SELECT h, r, t, h AS nh, (t * 7 + 3) % (SELECT count(*) FROM embeddings) AS nt FROM q),
     x AS (SELECT n.*, list_transform(range(1, 65), lambda i: a.vec[i] + b.vec[i] - c.vec[i]) AS good, list_transform(range(1, 65), lambda i: d.vec[i] + b.vec[i] - f.vec[i]) AS bad
       FROM n JOIN v a ON a.id = h JOIN v b ON b.id = r JOIN v c ON c.id = t JOIN v d ON d.id = nh JOIN v f ON f.id = nt),
     k AS (SELECT * FROM x WHERE 1.0 + sqrt(list_sum(list_transform(good, lambda y: y * y))) - sqrt(list_sum(list_transform(bad, lambda y: y * y))) > 0),
@@ -570,21 +624,93 @@ def evaluate_metrics(spark, sf_dir):
     SELECT id, CAST(i AS INT) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS x FROM u""")
 def transe_step(spark, sf_dir):
     """One training step with fixed negatives: the entities after it."""
-    batch = _triples(spark, sf_dir).withColumn("nh", F.col("h")).withColumn("nt", ((F.col("t") * 7 + 3) % 500).cast("int"))
-    model, _ = transe(spark, sf_dir).step(batch)
-    return model.entities.select("id", F.posexplode("vec").alias("place", "x")).select("id", (F.col("place") + 1).alias("place"), F.round("x", 6).alias("x"))
+    return _places(transe(spark, sf_dir).step(_fixed_batch(spark, sf_dir))[0].entities, "vec", "x")
 
 
-@query("rotate_step")
-def rotate_step(spark, sf_dir):
+def _fixed_batch(spark, sf_dir):
     triples, n = _all_triples(spark, sf_dir)
-    batch = triples.withColumn("nh", F.col("h")).withColumn("nt", ((F.col("t").cast("long") * 7 + 3) % n).cast("int"))
-    return rotate(spark, sf_dir).step(batch)[0].entities
+    return triples.withColumn("nh", F.col("h")).withColumn("nt", ((F.col("t").cast("long") * 7 + 3) % n).cast("int"))
+
+
+def _places(table, name, out):
+    return table.select("id", F.posexplode(name).alias("place", "x")).select("id", (F.col("place") + 1).alias("place"), F.round("x", 6).alias(out))
+
+
+_STEP = """n AS (SELECT h, r, t, h AS nh, (t * 7 + 3) % (SELECT count(*) FROM embeddings) AS nt FROM q),
+    x AS (SELECT n.*, list_transform(range(1, 65), lambda i: a.vec[i] + b.vec[i] - c.vec[i]) AS good, list_transform(range(1, 65), lambda i: d.vec[i] + b.vec[i] - f.vec[i]) AS bad
+      FROM n JOIN v a ON a.id = h JOIN v b ON b.id = r JOIN v c ON c.id = t JOIN v d ON d.id = nh JOIN v f ON f.id = nt),
+    w AS (SELECT *, greatest(0, 1.0 + sqrt(list_sum(list_transform(good, lambda y: y * y))) - sqrt(list_sum(list_transform(bad, lambda y: y * y)))) AS loss FROM x)"""
 
 
-@query("negative_sample")
+@query("transe_step_relations", _V + _STEP + """, m AS (SELECT r AS id, i, -0.02 * good[i] AS d FROM w, range(1, 65) g(i) WHERE loss > 0)
+    SELECT v.id, CAST(g.i AS INT) AS place, round(vec[g.i] + coalesce(sum(d), 0), 6) AS x FROM v CROSS JOIN range(1, 65) g(i) LEFT JOIN m ON m.id = v.id AND m.i = g.i WHERE v.id < 10 GROUP BY v.id, g.i, vec""")
+def transe_step_relations(spark, sf_dir):
+    """The relations after the same step."""
+    return _places(transe(spark, sf_dir).step(_fixed_batch(spark, sf_dir))[0].relations, "vec", "x")
+
+
+@query("transe_step_loss", _V + _STEP + " SELECT round(avg(loss), 6) AS loss FROM w")
+def transe_step_loss(spark, sf_dir):
+    return spark.createDataFrame([(round(transe(spark, sf_dir).step(_fixed_batch(spark, sf_dir))[1], 6),)], "loss double")
+
+
+_GAP = "list_transform(range(1, 33), lambda i: {0}.re[i] * b.re[i] - {0}.im[i] * b.im[i] - {1}.re[i]) AS {2}re, list_transform(range(1, 33), lambda i: {0}.re[i] * b.im[i] + {0}.im[i] * b.re[i] - {1}.im[i]) AS {2}im"
+_SIZE = "sqrt(list_sum(list_transform(range(1, 33), lambda i: {0}re[i] * {0}re[i] + {0}im[i] * {0}im[i])))"
+
+
+@query("rotate_step", _V + _ROT + f""", n AS (SELECT h, r, t, h AS nh, (t * 7 + 3) % (SELECT count(*) FROM embeddings) AS nt FROM q),
+    x AS (SELECT h, t, b.re AS rre, {_GAP.format("a", "c", "g")}, {_GAP.format("d", "f", "b")} FROM n JOIN z a ON a.id = h JOIN y b ON b.id = r JOIN z c ON c.id = t JOIN z d ON d.id = nh JOIN z f ON f.id = nt),
+    k AS (SELECT * FROM x WHERE 6.0 + {_SIZE.format("g")} - {_SIZE.format("b")} > 0),
+    m AS (SELECT h AS id, i, -0.01 * gre[i] * rre[i] AS dre, -0.01 * gim[i] * rre[i] AS dim FROM k, range(1, 33) g(i) UNION ALL SELECT t, i, 0.01 * gre[i], 0.01 * gim[i] FROM k, range(1, 33) g(i))
+    SELECT z.id, CAST(g.i AS INT) AS place, round(re[g.i] + coalesce(sum(dre), 0), 6) AS re, round(im[g.i] + coalesce(sum(dim), 0), 6) AS im FROM z CROSS JOIN range(1, 33) g(i) LEFT JOIN m ON m.id = z.id AND m.i = g.i GROUP BY z.id, g.i, re, im""")
+def rotate_step(spark, sf_dir):
+    ents = rotate(spark, sf_dir).step(_fixed_batch(spark, sf_dir))[0].entities.select("id", F.posexplode(F.arrays_zip("re", "im")).alias("place", "x"))
+    return ents.select("id", (F.col("place") + 1).alias("place"), F.round("x.re", 6).alias("re"), F.round("x.im", 6).alias("im"))
+
+
+@query("rotate_initial", "SELECT CAST(vec_id AS INT) AS id, TRUE AS bounded, CAST(32 AS INT) AS parts FROM embeddings")
+def rotate_initial(spark, sf_dir):
+    """A start for every row of the table: each part is within 6 / sqrt(dim)."""
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    start = embeddings.RotatE.initial(spark, n, 10, embeddings.RotatEConfig(dim=32)).entities
+    bounded = F.forall(F.concat("re", "im"), lambda x: F.abs(x) <= 6 / 32**0.5)
+    return start.select("id", bounded.alias("bounded"), F.size("re").alias("parts"))
+
+
+@query("transe_initial", "SELECT CAST(vec_id AS INT) AS id, CAST(1.0 AS DOUBLE) AS length FROM embeddings")
+def transe_initial(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    start = embeddings.TransE.initial(spark, n, 10, embeddings.TransEConfig(dim=16)).entities
+    return start.select("id", F.round(V.l2("vec"), 9).alias("length"))
+
+
+@query("vector_getters", _V + _ROT + "SELECT 'transe' AS model, CAST(i AS INT) AS place, round(vec[i], 6) AS x, 0.0::DOUBLE AS y FROM v, range(1, 65) g(i) WHERE id = 17 UNION ALL SELECT 'rotate', CAST(i AS INT), round(re[i], 6), round(im[i], 6) FROM z, range(1, 33) g(i) WHERE id = 17")
+def vector_getters(spark, sf_dir):
+    rows = [("transe", k + 1, round(x, 6), 0.0) for k, x in enumerate(transe(spark, sf_dir).entity(17))]
+    rows += [("rotate", k + 1, round(x.real, 6), round(x.imag, 6)) for k, x in enumerate(rotate(spark, sf_dir).entity(17))]
+    return spark.createDataFrame(rows, "model string, place int, x double, y double")
+
+
+@query("triple_score", _V[:-2] + f" SELECT round({_L2}, 6) AS score FROM v a, v b, v c WHERE a.id = 17 AND b.id = 3 AND c.id = 42")
+def triple_score(spark, sf_dir):
+    return spark.createDataFrame([(round(embeddings.triple_score(transe(spark, sf_dir), 17, 3, 42), 6),)], "score double")
+
+
+@query("predict_named", _V[:-2] + f" SELECT id, CASE WHEN id % 2 = 0 THEN 'even ' || id ELSE 'entity_' || id END AS name, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id DESC) AS INT) AS rank FROM (SELECT c.id, {_L2} AS score FROM v a, v b, v c WHERE a.id = 17 AND b.id = 3) ORDER BY score DESC, id DESC LIMIT 10")
+def predict_named(spark, sf_dir):
+    """With a vocabulary that names half of the entities."""
+    model = transe(spark, sf_dir)
+    vocab = model.entities.where("id % 2 = 0").select("id", F.concat(F.lit("even "), F.col("id")).alias("name"))
+    return embeddings.predict_tail(model, 17, 3, vocab=vocab).withColumn("score", F.round("score", 6))
+
+
+@query("negative_sample", _V[:-2] + " SELECT h, r, t, 1 AS kept, TRUE AS within FROM q")
 def negative_sample(spark, sf_dir):
-    return embeddings.corrupt(*_all_triples(spark, sf_dir))
+    """Of each triple one end at least is kept, and what replaces the other is an entity."""
+    triples, n = _all_triples(spark, sf_dir)
+    drawn = embeddings.corrupt(triples, n)  # h, r, t, nh, nt
+    kept = F.greatest((F.col("nh") == F.col("h")).cast("int"), (F.col("nt") == F.col("t")).cast("int"))
+    return drawn.select("h", "r", "t", kept.alias("kept"), (F.col("nh").between(0, n - 1) & F.col("nt").between(0, n - 1)).alias("within"))
 
 
 @query("train_transe")

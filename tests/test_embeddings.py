@@ -116,7 +116,9 @@ def test_queries_take_every_row(spark, tmp_path, monkeypatch):
     x = rng.normal(size=(n, 64))
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     want = {(i, i % 10, (i * 7 + 3) % n) for i in range(n)}
-    drawn = registry.QUERIES["negative_sample"](spark, str(tmp_path)).collect()
+    seen = registry.QUERIES["negative_sample"](spark, str(tmp_path)).collect()
+    assert len(seen) == n and {(r.h, r.r, r.t) for r in seen} == want and all(r.kept and r.within for r in seen)
+    drawn = M.corrupt(*registry._all_triples(spark, str(tmp_path))).collect()
     assert len(drawn) == n and {(r.h, r.r, r.t) for r in drawn} == want
     assert max(max(r.nh, r.nt) for r in drawn) >= 500 and all(r.nh < n and r.nt < n and (r.nh == r.h or r.nt == r.t) for r in drawn)
 
@@ -130,8 +132,10 @@ def test_queries_take_every_row(spark, tmp_path, monkeypatch):
     new = z.copy()
     np.add.at(new, h[hot], -0.01 * gap[hot] * w[rel][hot].real)
     np.add.at(new, t[hot], 0.01 * gap[hot])
-    got = registry.QUERIES["rotate_step"](spark, str(tmp_path))
-    assert np.allclose(matrix(got, "re") + 1j * matrix(got, "im"), new)
+    got = np.zeros_like(new)
+    for r in registry.QUERIES["rotate_step"](spark, str(tmp_path)).collect():
+        got[r.id, r.place - 1] = complex(r.re, r.im)
+    assert np.allclose(got, new, atol=1e-6)
 
     seen = {}
 
