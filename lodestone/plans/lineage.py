@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+#: Spark's own setting: shuffle files go when the query that made them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (one machine, tests), a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own, on one machine only."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         top = spark.sparkContext.getCheckpointDir()
     return top.rstrip("/")
@@ -24,18 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back.
 
-    Lineage ends there, a lost executor loses nothing of it, and Spark may drop the shuffle files of what
-    made it. ``release`` deletes the files; what is left goes when the application ends."""
+    Lineage ends there, a lost executor loses nothing of it, and Spark drops the shuffle files of what
+    made it at once. ``release`` deletes the files; what is left goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
     _written[path] = spark
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that nothing refers to
-    out = spark.read.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
 
