@@ -76,7 +76,7 @@ def plan(docs: DataFrame, keep: list[str], seed: int = 42, weights=WEIGHTS, shar
     goal = goal.select(F.col("source").alias("g_source"), "source_size", "target")
     cells = cells.join(goal, F.col("source").eqNullSafe(F.col("g_source")))
     cells = cells.select(F.struct("source", "cell", "salt").alias("at"), "before", "source_size", "target")
-    own = Window.partitionBy("source", "cell", "salt").orderBy("size", "id")
+    own = Window.partitionBy("source", "cell", "salt").orderBy("size", "id", "row")  # what is kept decides ties, so that reruns agree
     docs = docs.withColumn("k", F.row_number().over(own))
     docs = docs.join(cells, F.struct("source", "cell", "salt") == F.col("at"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -1,9 +1,11 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation maximisation over the
-counts of vote patterns (at most 3 ** rules of them, whatever the corpus) estimates each
-rule's chances of voting bad, where it votes, on good and on bad documents; the posterior probability that a document is good replaces passing every rule. A prior says that a
-rule is seldom wrong on good documents, as each rule sees a kind of junk that most others pass.
+counts of vote patterns (at most 3 ** rules of them, whatever the corpus) estimates how the documents
+divide into good ones and kinds of junk, and for each of these how often each rule that votes says bad.
+Votes are taken as independent within a kind, not among all junk: a kind sets off several rules together.
+A kind starts from each rule. All shares and chances are estimated; the prior is worth ``PSEUDO``
+documents. The posterior probability of good replaces passing every rule.
 
 Defined cases: a null text has no words; a null doc_id is carried along; repeated rows get equal
 rows; an empty table gives no rows; whole texts of any length are read.
@@ -23,11 +25,11 @@ from lodestone.llm.shared import WordHashes, chunks, column_bytes, gram_hashes,
 
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 KEEP_FROM = 0.5
-ROUNDS, CLOSE = 200, 1e-9
-#: Class balance, held fixed: with rules that only know junk it can't be told from the votes.
-GOOD_SHARE = 0.85
-#: Prior chance of a bad vote on a good and on a bad document, and its weight as a share of the corpus.
-WRONG_ON_GOOD, RIGHT_ON_BAD = (0.005, 5.0), (0.2, 0.01)
+ROUNDS, CLOSE = 1000, 1e-9
+#: Where estimation starts: the share of good documents; a rule's chance to say bad on good documents, on the
+#: kind of junk that starts from it and, at least, on the others, which start from the rule's share of bad votes; a
+#: rule that says bad on most documents starts from that on good ones, too. The same values are the prior, worth so many documents.
+GOOD_SHARE, SAYS_BAD, PSEUDO = 0.8, (0.005, 0.9, 0.1), 4.0
 
 _SPACE = b" \t\n\v\f\r"
 _TAIL = bytes(range(0x80, 0xC0))  # bytes of UTF-8 that start no code point
@@ -35,18 +37,18 @@ _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(0xC0, 0x100))
 
-#: (feature, bad below, bad above, good from, good to): None leaves a side open. Rules without a range
-#: of good know one kind of junk: they vote bad or abstain, and abstaining says nothing.
+#: (feature, bad below, bad above, good from, good to): None leaves a side open; between bad and good a rule abstains.
 RULES = (
-    ("n_words", 10, None, 30, None),
-    ("symbols_per_word", None, 0.1, None, None),
-    ("upper_share", None, 0.3, None, None),
-    ("repeat_share", None, 0.2, None, None),
-    ("distinct_share", 0.15, None, None, None),
-    ("exclamations_per_word", None, 0.3, None, None),
-    ("dup_line_share", None, 0.5, None, None),
-    ("mean_word_chars", 2, 14, 3, 10),
-    ("letter_share", 0.6, None, 0.8, None),
+    ("n_words", 20, None, 40, None),
+    ("symbols_per_word", None, 0.1, None, 0.02),
+    ("symbol_share", None, 0.05, None, 0.01),
+    ("letter_share", 0.85, None, 0.93, None),
+    ("upper_share", None, 0.3, None, 0.1),
+    ("repeat_share", None, 0.2, None, 0.02),
+    ("distinct_share", 0.35, None, 0.5, None),
+    ("exclamations_per_word", None, 0.3, None, 0.05),
+    ("dup_line_share", None, 0.3, None, 0.05),
+    ("mean_word_chars", 3.5, 9.0, 4.2, 6.2),
 )
 
 SCHEMA = T.StructType(
@@ -87,6 +89,7 @@ def features(raw: bytes, h: np.ndarray) -> tuple[tuple[int, ...], dict[str, floa
     more = {
         "n_words": n,
         "symbols_per_word": symbols / max(n, 1),
+        "symbol_share": symbols / chars if chars else np.nan,
         "upper_share": upper / max(letters, 1) if letters >= 40 else np.nan,
         "repeat_share": repeats / max(n, 1),
         "distinct_share": len(np.unique(h)) / n if n >= 50 else np.nan,
@@ -108,7 +111,7 @@ def vote(more: dict[str, float]) -> str:
         elif (low is not None and x < low) or (high is not None and x > high):
             out.append("b")
         else:
-            out.append("g" if start is not None and x >= start and (stop is None or x <= stop) else "-")
+            out.append("g" if (start is None or x >= start) and (stop is None or x <= stop) else "-")
     return "".join(out)
 
 
@@ -127,33 +130,39 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([chunk.column("doc_id").cast(pa.int64()), *columns, pa.array(votes)], names=SCHEMA.names)
 
 
-def fit(patterns: list[str], counts: list[int]) -> dict[str, float]:
-    """Posterior probability of good for each pattern, by expectation maximisation from a start that doubts every bad vote."""
+def fit(patterns: list[str], counts: list[int]) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
+    """Posterior probability of good for each pattern; the shares of good documents and of each kind of junk; and
+    for each of these (rows) each rule's chance to say bad where it votes."""
+    rules = len(patterns[0]) if patterns else len(RULES)
+    good, own, other = SAYS_BAD
+    v = np.array([["bg-".index(x) for x in p] for p in patterns]).reshape(-1, rules)
+    n, bad, said = np.array(counts, float), v == 0, v != 2
+    rate = np.clip(n @ bad / np.maximum(n @ said, 1), other, own)
+    start = np.tile(rate, (rules + 1, 1))
+    start[0] = np.where(rate > 0.5, rate, good)
+    start[np.arange(rules) + 1, np.arange(rules)] = own
+    chance, first = start, np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / rules] * rules)
+    share = first
     if not patterns:
-        return {}
-    v = np.array([["bg-".index(x) for x in p] for p in patterns])
-    n = np.array(counts, float)
-    q = np.where((v == 0)[:, 0], 0.5, 0.95)  # a short document alone says little
-    q = np.where((v == 0)[:, 1:].any(1), 0.1, q)  # each of the other rules sees one kind of junk, that most miss
-    said_bad, said, one_sided = v == 0, v != 2, np.array([r[3] is None for r in RULES])
+        return {}, share, chance
     for _ in range(ROUNDS):
-        logs = np.full(len(n), np.log(GOOD_SHARE)), np.full(len(n), np.log(1 - GOOD_SHARE))
-        for side, w, (mean, weight) in zip(logs, (n * q, n * (1 - q)), (WRONG_ON_GOOD, RIGHT_ON_BAD), strict=True):
-            strength = weight * n.sum()
-            chance = (w @ said_bad + mean * strength) / (w @ np.where(one_sided, True, said) + strength)
-            side += (said_bad * np.log(chance) + (said & ~said_bad) * np.log1p(-chance)).sum(1)
-        new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
-        if np.abs(new - q).max() < CLOSE:
+        logs = np.log(share) + bad @ np.log(chance).T + (said & ~bad) @ np.log1p(-chance).T
+        q = np.exp(logs - logs.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        w = (n[:, None] * q).T
+        was = np.append(chance, share)
+        chance, share = (w @ bad + start * PSEUDO) / (w @ said + PSEUDO), (w.sum(1) + first * PSEUDO) / (n.sum() + PSEUDO)
+        if np.abs(np.append(chance, share) - was).max() < CLOSE:
             break
-        q = new
-    return dict(zip(patterns, q.tolist(), strict=True))
+    return dict(zip(patterns, q[:, 0].tolist(), strict=True)), share, chance
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, posterior and kept."""
     found = settle(docs.select("doc_id", "text").mapInArrow(_measure, SCHEMA))
     table = found.groupBy("votes").count().collect()  # 3 ** len(RULES) rows at most
-    chance = fit([r["votes"] for r in table], [r["count"] for r in table])
+    table = sorted(table)
+    chance = fit([r["votes"] for r in table], [r["count"] for r in table])[0]
     pairs = found.sparkSession.createDataFrame(list(chance.items()) or [("", 0.5)], "votes string, posterior double")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = found.join(F.broadcast(pairs), "votes", "left")

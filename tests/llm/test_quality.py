@@ -33,8 +33,61 @@ def test_weak_supervision(spark):
     loud = [(2000 + i, " ".join(f"WORT{chr(65 + (i + k) % 26)}{chr(65 + k % 26)}!!" for k in range(60))) for i in range(8)]
     out = quality_rules.score(spark.createDataFrame(good + junk + loud, "doc_id long, text string")).collect()
     assert {r.doc_id for r in out if r.kept} == {d for d, _ in good}
-    posterior = quality_rules.fit(["g-g", "gbg", "bbb"], [90, 5, 5]) if len(quality_rules.RULES) == 3 else {}
-    assert not posterior or posterior["g-g"] > 0.5
+
+
+def slow_fit(patterns, counts, rounds):
+    """The same estimation, one document pattern, kind and rule at a time."""
+    rules = len(patterns[0])
+    kinds = range(rules + 1)
+    good, own, other = quality_rules.SAYS_BAD
+    rate = [sum(n for n, p in zip(counts, patterns) if p[i] == "b") / sum(n for n, p in zip(counts, patterns) if p[i] != "-") for i in range(rules)]
+    rate = [min(own, max(other, x)) for x in rate]
+    start = [[(rate[i] if rate[i] > 0.5 else good) if k == 0 else own if k - 1 == i else rate[i] for i in range(rules)] for k in kinds]
+    first = [quality_rules.GOOD_SHARE] + [(1 - quality_rules.GOOD_SHARE) / rules] * rules
+    chance, share = [list(x) for x in start], list(first)
+    for _ in range(rounds):
+        post = []
+        for p in patterns:
+            like = []
+            for k in kinds:
+                x = share[k]
+                for i, vote in enumerate(p):
+                    x *= chance[k][i] if vote == "b" else 1 - chance[k][i] if vote == "g" else 1
+                like.append(x)
+            post.append([x / sum(like) for x in like])
+        weight = quality_rules.PSEUDO
+        for k in kinds:
+            share[k] = (sum(n * q[k] for n, q in zip(counts, post)) + first[k] * weight) / (sum(counts) + weight)
+            for i in range(rules):
+                said = sum(n * q[k] for n, q, p in zip(counts, post, patterns) if p[i] != "-")
+                bad = sum(n * q[k] for n, q, p in zip(counts, post, patterns) if p[i] == "b")
+                chance[k][i] = (bad + start[k][i] * weight) / (said + weight)
+    return {p: q[0] for p, q in zip(patterns, post)}, share, chance
+
+
+def test_estimation(monkeypatch):
+    patterns, counts = ["gggg", "ggg-", "bbgg", "bgbg", "gggb", "-bb-", "gbgg", "bbbg"], [700, 100, 60, 40, 30, 9, 20, 11]
+    monkeypatch.setattr(quality_rules, "ROUNDS", 40)
+    monkeypatch.setattr(quality_rules, "CLOSE", 0.0)
+    got, want = quality_rules.fit(patterns, counts), slow_fit(patterns, counts, 40)
+    assert all(abs(got[0][p] - want[0][p]) < 1e-9 for p in patterns)
+    assert np.allclose(got[1], want[1]) and np.allclose(got[2], want[2])
+
+
+def test_estimates_recover_the_truth():
+    """Votes drawn from known chances: shares and chances move there from their start."""
+    rng, rules = np.random.default_rng(9), 6
+    truth = np.full((3, rules), 0.01)
+    truth[1, :3], truth[2, 3:5] = 0.85, 0.9
+    kind = rng.choice(3, 20_000, p=[0.7, 0.2, 0.1])
+    votes = ["".join("b" if x else "g" for x in row) for row in rng.random((len(kind), rules)) < truth[kind]]
+    table = Counter(votes)
+    posterior, share, chance = quality_rules.fit(list(table), list(table.values()))
+    assert abs(share[0] - 0.7) < 0.02 and np.abs(chance[0] - truth[0]).max() < 0.03
+    assert posterior["gggggg"] > 0.9 and posterior["bbgggg"] < 0.1 and posterior["gggbbg"] < 0.1
+    keep = np.array([posterior[x] >= 0.5 for x in votes])
+    passes = np.array(["b" not in x for x in votes])
+    assert (keep == (kind == 0)).mean() > (passes == (kind == 0)).mean() + 0.05
 
 
 def test_keep_and_empty(docs, empty):
