@@ -227,7 +227,7 @@ def token_costs(vocabulary: DataFrame, n_tokens: int) -> DataFrame:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and the code length: bits_per_byte of the spelt text."""
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"))
@@ -246,7 +246,7 @@ def score(docs: DataFrame) -> DataFrame:
         """A row for each document with the sums over frequent tokens, and one for each chunk and bucket with the others."""
         place, logs, lps, known = head.value
         uid, get = TaskContext.get().partitionId() << 40, place.get
-        names = ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "lp", "bucket", "hashes", "uids"]
+        names = ["uid", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "lp", "bucket", "hashes", "uids"]
         logs, lps, known = np.append(logs, 0.0), np.append(lps, 0.0), np.append(known, False)
         for chunk in chunks(batches, most=2 << 20):
             lists = list(map(_tokens, column_bytes(chunk)))
@@ -261,8 +261,9 @@ def score(docs: DataFrame) -> DataFrame:
             sums = [np.add.reduceat(x[at], starts) for x in (logs, lps)]
             k = np.add.reduceat(known[at].astype(np.int64), starts)
             nil = pa.nulls(n, pa.binary())
+            spelt = np.add.reduceat(np.fromiter(map(len, flat), np.int64, len(flat)) + 1, starts) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uids), chunk.column("doc_id"), chunk.column("held_out"), pa.array(sizes), pa.array(k), *map(pa.array, sums), pa.nulls(n, pa.int32()), nil, nil], names=names
+                [pa.array(uids), chunk.column("doc_id"), chunk.column("held_out"), pa.array(sizes), pa.array(spelt), pa.array(k), *map(pa.array, sums), pa.nulls(n, pa.int32()), nil, nil], names=names
             )
             if len(rare):
                 h = np.fromiter((xxhash.xxh3_64_intdigest(flat[i]) for i in rare.tolist()), np.uint64, len(rare))
@@ -272,12 +273,12 @@ def score(docs: DataFrame) -> DataFrame:
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=n_buckets))
                 parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 m = len(parts)
-                gone = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                gone = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays(
                     [*gone, pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([h[p].tobytes() for p in parts]), pa.array([own[p].tobytes() for p in parts])], names=names
                 )
 
-    done = settle(docs.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, lp double, bucket int, hashes binary, uids binary"))
+    done = settle(docs.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, lp double, bucket int, hashes binary, uids binary"))
 
     def table(batches):
         """The token table's rows of a partition as one row for each bucket and batch."""
@@ -309,4 +310,5 @@ def score(docs: DataFrame) -> DataFrame:
     return done.where("uid is not null").drop("bucket", "hashes", "uids").join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", plus("known", "k").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         plus("base", "b").alias("base_score"), plus("lp", "l").alias("score"),
+        (-plus("lp", "l") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -201,6 +201,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 1) -
     rows, asked = (valid(df).where(F.size("v") == dim) for df in (vectors, queries))
     picked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * SAMPLE).toPandas()
     sample = np.array(picked["v"].tolist(), float).reshape(-1, dim)
+    sample = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]  # repeats would make neighbours look near
     sample, other = sample[:SAMPLE], sample[SAMPLE:]
     tree = Tree(sample, seed)
     judged = other if len(other) >= SAMPLE // 4 else sample

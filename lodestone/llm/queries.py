@@ -72,7 +72,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scans": op7_secret_scans, "op8_lm_scoring": op8_lm_scoring, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op3 rests on, alone, as SQL can state them."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's numbers of base spans, alone."""
+    return op7_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality_rules": op3_quality_rules, "op4_cotraining": op4_cotraining, "op5_neighbours": op5_neighbours, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scans": op7_secret_scans, "op8_lm_scoring": op8_lm_scoring, "op9_packing": op9_packing, "op10_mixing": op10_mixing, "quality_base": quality_base, "secret_base": secret_base}
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: The others fit models, draw samples or would be too slow over whole tables; tests compare them with brute force.
@@ -95,4 +105,15 @@ ORACLES: dict[str, str] = {
         r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
         m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)""",
+    "quality_base": r"""
+        WITH w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+        f AS (SELECT doc_id, unnest(list(i)) AS i FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(range(8)) AS p FROM f) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(n, 0) > 30 * len(ws) AS base_failed FROM w LEFT JOIN c USING (doc_id)""",
+    "secret_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+        CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex FROM d""",
 }

@@ -121,6 +121,8 @@ def test_language_model(docs, rows):
     out = language_model.score(docs).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(r.score < 0 for r in out)
+    spelt = Counter((d, len(" ".join((t or "").split()).encode()) + (2 if (t or "").split() else 1)) for d, t, *_ in rows)
+    assert spelt == Counter((r.doc_id, round(-r.score / np.log10(2) / r.bits_per_byte)) for r in out)
 
 
 def test_rare_tokens_join(docs, monkeypatch):
@@ -207,6 +209,20 @@ def test_depth_stays_on_large_input(spark):
         assert abs(r.score - sum(cost[w] for w in [*texts[r.doc_id].encode().split(), b"\n"])) < 1e-6
 
 
+def test_an_id_is_one_candidate(spark):
+    """However often an id stands, with equal or with other vectors, it takes one place."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(28, 6))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, x[1].tolist())] * 15 + [(2, (x[0] + 0.001 * k).tolist()) for k in range(1, 15)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(1)
+    got = neighbours.search(df, df.where("vec_id = 0").limit(1), 10).orderBy("rank").collect()
+    gap = {i: min(np.sqrt(((np.array(v) - x[0]) ** 2).sum()) for j, v in data if j == i) for i in range(1, 28)}
+    want = sorted(gap, key=lambda i: (gap[i], i))[:10]
+    ids = [r.vec_id for r in got]
+    assert len(set(ids)) == 10 and [r["rank"] for r in got] == list(range(1, 11)) and ids[0] == 2
+    assert np.allclose([r.score for r in got], [gap[i] for i in ids]) and len(set(ids) & set(want)) >= 9
+
+
 # ---- packing
 
 
