@@ -1,19 +1,19 @@
 """LM scoring by context-tree weighting over bytes, beside a smoothed unigram score.
 
-Tokens are the words of a text after lower-casing A-Z, and one end. A token is spelt as its bytes and
-a space (the end as a line feed); the context of a byte is what precedes it in its token, back to the
-space before. Each byte is eight binary decisions. At every context node of every depth, from none to
-``depth`` bytes, the Krichevsky-Trofimov estimate of the decision is mixed with the weighted
-estimate of its children: P(s) = KT(s) / 2 + (product of the children's P) / 2. The counts come from
-the training tokens; a text's probability is the product of the mixed estimates, counts held fixed. A
+Tokens are the words of a text after lower-casing A-Z, and one end. A text is spelt as its tokens, a
+space after each, and a line feed for the end; the context of a byte is the ``DEPTH`` bytes before it, across
+tokens, and a line feed before the first. Each byte is eight binary decisions. At every context node of
+every depth, from none to ``DEPTH`` bytes, the Krichevsky-Trofimov estimate of the decision is mixed with
+the weighted estimate of its children: P(s) = KT(s) / 2 + (product of the children's P) / 2. The counts come
+from the training texts; a text's probability is the product of the mixed estimates, counts held fixed. A
 context that training hasn't seen leaves the estimate to the longest one that it has.
 
-Contexts don't cross tokens, so a token always costs the same: the counts are gathered from the table
-of distinct tokens, and a text needs the sum over its tokens. The depth is ``DEPTH`` for any input. The
+The spelt texts are kept in chunks. Each chunk's distinct events (context, byte) are counted and dealt by
+their hash, so a frequent context is spread over all buckets, and merged to one table of events. The
 tree is dealt by the ``LOW`` nearest bytes of the context: what lies below such a node is weighed in one
-task, and the driver has the nodes above alone, 256 x 256 for each depth at most. A chunk of the token
-table asks for its distinct events (context, byte) and gets their costs. The ``HEAD`` most frequent tokens
-are broadcast with their costs; the others meet the token table in a join by hash bucket.
+task, and the driver has the nodes above alone, 256 x 256 at most. Then each chunk asks the buckets for the
+costs of its events and sums them for its texts; they travel as 32-bit floats. For the base, the ``HEAD``
+most frequent tokens are broadcast with their counts; the others meet the token table in a join by hash bucket.
 
 Defined cases: a null text is empty and has its end alone; a null doc_id is in training; repeated
 rows count as often as they stand; an empty table gives no rows; texts of any length are whole.
@@ -38,8 +38,8 @@ DEPTH, LOW, HEAD = 6, 2, 80_000
 END = b"\n"
 #: Distinct tokens that a task gathers before it passes them on, and in a bucket of the token table.
 GATHERED, IN_BUCKET = 300_000, 400_000
-#: Distinct tokens in a chunk that asks for costs, and for each part of the tree.
-IN_CHUNK, IN_TREE = 100_000, 30_000
+#: Bytes of text in a chunk, and for each bucket of events and part of the tree.
+IN_CHUNK, IN_EVENTS = 4 << 20, 16 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -51,24 +51,22 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_events(tokens: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all bytes of all tokens, context in the high bytes with the nearest lowest, then the byte; and where tokens end."""
-    spelt = [t if t == END else t + b" " for t in tokens]
-    flat = np.frombuffer(b"".join(spelt), np.uint8).astype(np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))
-    first = np.zeros(len(flat), np.int64)
-    if len(flat):
-        first[ends[:-1]] = 1
-        starts = np.concatenate([[0], ends[:-1]])[np.cumsum(first)]
-        at = np.arange(len(flat)) - starts  # bytes before this one in its token
+def text_events(spelt: bytes, ends: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Keys of all bytes of the texts that end at ``ends``: context in the high bytes with the nearest lowest, then the byte."""
+    flat = np.frombuffer(spelt, np.uint8).astype(np.uint64)
     key = flat.copy()
+    if not len(flat):
+        return key
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     for d in range(1, depth + 1):
         before = np.zeros(len(flat), np.uint64)
         before[d:] = flat[:-d]
-        if len(flat):
-            before = np.where(at >= d, before, np.where(at == d - 1, np.uint64(32), np.uint64(0)))
-        key |= before << np.uint64(8 * d)
-    return key, ends
+        for k in range(d):  # a text's k-th byte has k of its own bytes before it
+            at = starts + k
+            before[at[at < ends]] = END[0] if k == d - 1 else 0
+        before <<= np.uint64(8 * d)
+        key |= before
+    return key
 
 
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -143,10 +141,6 @@ def crown(sums: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def _tokens(raw: bytes | None) -> list[bytes]:
-    return [*raw.lower().split(), END] if raw else [END]
-
-
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct tokens with their number in training documents and in all."""
     train, other = Counter(), Counter()
@@ -161,68 +155,166 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = slice(k, k + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(words[s], pa.binary()), pa.array(c[s]), pa.array(t[s])], names=["word", "c", "total"])
 
-    for chunk in chunks(batches, most=2 << 20):
-        for raw, held in zip(column_bytes(chunk), chunk.column("held_out").to_pylist(), strict=True):
-            (other if held else train).update(_tokens(raw))
+    for _, spelt, ends, held, _ in _chunks(batches):
+        for tokens, out in zip(_split(spelt, ends), held.tolist(), strict=True):
+            (other if out else train).update(tokens)
         if len(train) + len(other) > GATHERED:
             yield from flush()
     if train or other:
         yield from flush()
 
 
-def _ask(n_trees: int):
-    def ask(table: pa.Table) -> pa.Table:
-        """The distinct events of a chunk of tokens with their number in training, by part of the tree."""
-        keys, ends = token_events(table.column("word").to_pylist())
-        found, which = np.unique(keys, return_inverse=True)
-        n = np.bincount(which, np.repeat(table.column("c").to_numpy().astype(float), np.diff(ends, prepend=0)), len(found))
-        out = by_bucket(mix((found >> np.uint64(8)) & np.uint64(256**LOW - 1)), n_trees, {"keys": found, "n": n})
-        return pa.Table.from_batches([out.append_column("chunk", pa.repeat(table.column("chunk")[0], out.num_rows))])
+_CHUNK = "chunk long, spelt binary, sizes binary, held binary, doc_ids array<long>"
+_BASE = "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, bucket int, hashes binary, uids binary"
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk: its texts spelt one after the other, their sizes, and whether they are held out."""
+    number = TaskContext.get().partitionId() << 20
+    for chunk in chunks(batches, most=IN_CHUNK):
+        texts = [b" ".join([*raw.lower().split(), END]) if raw else END for raw in column_bytes(chunk)]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        held = chunk.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        cells = [[number], [b"".join(texts)], [sizes.tobytes()], [held.tobytes()], [chunk.column("doc_id").to_pylist()]]
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=["chunk", "spelt", "sizes", "held", "doc_ids"])
+        number += 1
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]):
+    """Chunk, spelt texts, where each ends, held out, doc_ids; one chunk at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            ends = np.cumsum(np.frombuffer(row["sizes"].as_py(), np.int64))
+            held = np.frombuffer(row["held"].as_py(), bool) if "held" in row else None
+            yield row["chunk"].as_py(), row["spelt"].as_py(), ends, held, row["doc_ids"].values if "doc_ids" in row else None
+
+
+def _split(spelt: bytes, ends: np.ndarray) -> list[list[bytes]]:
+    cuts = ends.tolist()
+    return [[*spelt[a : b - 1].split(), END] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys (of seven bytes), byte by byte, so that they compress."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(7, -1).T
+    return out.reshape(-1).view("<u8")
+
 
-    return ask
+def _all_keys(table: pa.Table) -> np.ndarray:
+    return np.concatenate([_keys(k) for k in table.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    found, which = np.unique(unpack(table, "keys", np.uint64), return_inverse=True)
-    return found, np.bincount(which, unpack(table, "n", float), len(found))
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The buckets that events fall in, ascending, and the places of each bucket's events."""
+    bucket = (mix(keys) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at = _firsts(bucket[order])
+    return bucket[order][at], np.split(order, at[1:])
+
+
+def _count(n_buckets: int):
+    def count(batches):
+        """The distinct events of each chunk with their number in training, by bucket."""
+        for _, spelt, ends, held, _ in _chunks(batches):
+            x = text_events(spelt, ends) << np.uint64(1)
+            x |= np.repeat(~held, np.diff(ends, prepend=0)).astype(np.uint64)
+            x.sort()
+            at = _firsts(x >> np.uint64(1))
+            n, found = np.add.reduceat(x & np.uint64(1), at).astype(np.uint32), x[at] >> np.uint64(1)
+            bucket, parts = _dealt(found, n_buckets)
+            columns = [pa.array(bucket.astype(np.int32)), pa.array([_planes(found[p]) for p in parts]), pa.array([n[p].tobytes() for p in parts])]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "n"])
+
+    return count
+
+
+def _merge(n_trees: int):
+    def merge(table: pa.Table) -> pa.Table:
+        """Each event of a bucket once, by part of the tree."""
+        keys, n = _all_keys(table), unpack(table, "n", np.uint32)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = _firsts(keys)
+        out = {"keys": keys[at], "n": np.add.reduceat(n[order].astype(float), at)}
+        out = by_bucket(mix((out["keys"] >> np.uint64(8)) & np.uint64(256**LOW - 1)), n_trees, out)
+        tree = out.column("bucket")
+        return pa.table({"tree": tree, "bucket": pa.repeat(table.column("bucket")[0], out.num_rows), "keys": out.column("keys"), "n": out.column("n")})
+
+    return merge
 
 
 def _roots(table: pa.Table) -> pa.Table:
-    sums = roots(*_merged(table), DEPTH)
+    sums = roots(unpack(table, "keys", np.uint64), unpack(table, "n", float), DEPTH)
     node = np.flatnonzero(sums.any(0))
     return pa.table({"node": pa.array(node.astype(np.int32))} | {name: x[node] for name, x in zip(("zeros", "ones", "below"), sums, strict=True)})
 
 
-def token_costs(vocabulary: DataFrame, n_tokens: int) -> DataFrame:
-    """word, c, total, lp and hash h of each row (word, c, total)."""
-    n_chunks, n_trees = max(8, n_tokens // IN_CHUNK), max(8, n_tokens // IN_TREE)
-    vocabulary = vocabulary.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(n_chunks)).cast("int"))
-    asked = settle(vocabulary.groupBy("chunk").applyInArrow(_ask(n_trees), "bucket int, keys binary, n binary, chunk int"))
+def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
+    """uid and lp, the log10 probability, of each text of the chunks."""
+    n = max(8, n_bytes // IN_EVENTS)
+    counted = spelt.select("chunk", "spelt", "sizes", "held").mapInArrow(_count(n), "bucket int, keys binary, n binary")
+    events = settle(counted.groupBy("bucket").applyInArrow(_merge(n), "tree int, bucket int, keys binary, n binary"))
     sums = np.zeros((3, 256**LOW))
-    nodes = asked.groupBy("bucket").applyInArrow(_roots, "node int, zeros double, ones double, below double")
+    nodes = events.groupBy("tree").applyInArrow(_roots, "node int, zeros double, ones double, below double")
     nodes = nodes.groupBy("node").agg(*[F.sum(x).alias(x) for x in ("zeros", "ones", "below")]).toPandas()  # 256 ** LOW rows at most
     sums[:, nodes["node"].to_numpy(int)] = nodes[["zeros", "ones", "below"]].to_numpy(float).T
-    top = vocabulary.sparkSession.sparkContext.broadcast(crown(sums))
-
-    def answer(table: pa.Table) -> pa.Table:
-        found, n = _merged(table)
-        logs = weigh(found, n, DEPTH, top.value)
-        got = [logs[np.searchsorted(found, np.frombuffer(k, np.uint64))].tobytes() for k in table.column("keys").to_pylist()]
-        return pa.table({"chunk": table.column("chunk"), "keys": table.column("keys"), "logs": pa.array(got, pa.binary())})
+    top = spelt.sparkSession.sparkContext.broadcast(crown(sums))
+
+    def weighed(table: pa.Table) -> pa.Table:
+        logs = weigh(unpack(table, "keys", np.uint64), unpack(table, "n", float), DEPTH, top.value).astype(np.float32)
+        cuts = np.cumsum([len(k) // 8 for k in table.column("keys").to_pylist()])[:-1]
+        return pa.table({"bucket": table.column("bucket"), "keys": table.column("keys"), "logs": pa.array([x.tobytes() for x in np.split(logs, cuts)], pa.binary())})
+
+    def ask(batches):
+        """The distinct events of each chunk, by bucket."""
+        for chunk, text, ends, _, _ in _chunks(batches):
+            x = text_events(text, ends)
+            x.sort()
+            bucket, parts = _dealt(found := x[_firsts(x)], n)
+            columns = [pa.array(bucket.astype(np.int32)), pa.array([chunk] * len(parts), pa.int64()), pa.array([_planes(found[p]) for p in parts])]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "keys"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The costs of asked events, in their order."""
+        keys, logs = unpack(right, "keys", np.uint64), unpack(right, "logs", np.float32)
+        order = np.argsort(keys)
+        keys, logs = keys[order], logs[order]
+        got = [logs[np.searchsorted(keys, _keys(k))].tobytes() for k in left.column("keys").to_pylist()]
+        return pa.table({"chunk": left.column("chunk"), "bucket": left.column("bucket"), "logs": pa.array(got, pa.binary())})
 
     def cost(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = left.column("word").to_pylist()
-        found, ends = token_events(words)
-        keys, logs = unpack(right, "keys", np.uint64), unpack(right, "logs", float)
-        order = np.argsort(keys)
-        each = logs[order[np.searchsorted(keys, found, sorter=order)]]
-        lp = np.add.reduceat(each, ends - np.diff(ends, prepend=0))
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.int64)
-        return pa.table({"word": left.column("word"), "c": left.column("c"), "total": left.column("total"), "lp": lp, "h": h})
-
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk int, keys binary, logs binary")
-    costs = settle(vocabulary.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cost, "word binary, c long, total long, lp double, h long"))
-    release(asked)
+        """Sums over the bytes of each text."""
+        given = dict(zip(right.column("bucket").to_pylist(), right.column("logs").to_pylist(), strict=True))
+        chunk, text, ends, _, _ = next(_chunks(left.combine_chunks().to_batches()))
+        x = text_events(text, ends)
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        at = _firsts(x)
+        logs = np.zeros(len(at))
+        for b, p in zip(*_dealt(x[at], n), strict=True):
+            logs[p] = np.frombuffer(given[int(b)], np.float32)
+        each = np.empty(len(x))
+        each[order] = np.repeat(logs, np.diff(at, append=len(x)))
+        return pa.table({"uid": (chunk << 24) + np.arange(len(ends)), "lp": np.add.reduceat(each, ends - np.diff(ends, prepend=0))})
+
+    logs = events.groupBy("tree").applyInArrow(weighed, "bucket int, keys binary, logs binary")
+    texts = spelt.select("chunk", "spelt", "sizes")
+    asked = texts.mapInArrow(ask, "bucket int, chunk long, keys binary")
+    answers = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, logs binary")
+    costs = settle(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cost, "uid long, lp double"))
+    release(events)
     return costs
 
 
@@ -230,41 +322,36 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and the code length: bits_per_byte of the spelt text."""
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
-    docs = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"))
-    vocabulary = docs.select("text", "held_out").mapInArrow(_gather, "word binary, c long, total long")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out"))
+    spelt = settle(docs.mapInArrow(_spell, _CHUNK))
+    vocabulary = spelt.select("chunk", "spelt", "sizes", "held").mapInArrow(_gather, "word binary, c long, total long")
     vocabulary = settle(vocabulary.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("total"), F.lit(0)).alias("seen")).first()
     n_train, whole = sums["n"], sums["n"] + 0.5 * (sums["v"] + 1)
     n_buckets = max(8, -(-sums["all"] // IN_BUCKET), sums["seen"] // (20 * IN_BUCKET))
-    costs = token_costs(vocabulary, sums["all"])
-    top = costs.orderBy(F.desc("total"), "h").limit(HEAD).select("word", "c", "lp").toPandas()
+    top = vocabulary.orderBy(F.desc("total"), "word").limit(HEAD).select("word", "c").toPandas()
     place = {bytes(w): i for i, w in enumerate(top["word"])}
     base = lambda c: np.log10((c + 0.5) / whole)
-    head = spark.sparkContext.broadcast((place, base(top["c"].to_numpy(float)), top["lp"].to_numpy(float), top["c"].to_numpy() > 0))
+    head = spark.sparkContext.broadcast((place, base(top["c"].to_numpy(float)), top["c"].to_numpy() > 0))
 
     def read(batches):
         """A row for each document with the sums over frequent tokens, and one for each chunk and bucket with the others."""
-        place, logs, lps, known = head.value
-        uid, get = TaskContext.get().partitionId() << 40, place.get
-        names = ["uid", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "lp", "bucket", "hashes", "uids"]
-        logs, lps, known = np.append(logs, 0.0), np.append(lps, 0.0), np.append(known, False)
-        for chunk in chunks(batches, most=2 << 20):
-            lists = list(map(_tokens, column_bytes(chunk)))
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        place, logs, known = head.value
+        get, names = place.get, [x.split()[0] for x in _BASE.split(", ")]
+        logs, known = np.append(logs, 0.0), np.append(known, False)
+        for chunk, spelt, ends, held, ids in _chunks(batches):
+            lists = _split(spelt, ends)
+            n = len(lists)
+            sizes = np.fromiter(map(len, lists), np.int64, n)
             flat = [w for ws in lists for w in ws]
             at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
             starts = np.cumsum(sizes) - sizes
-            uids = uid + np.arange(len(lists))
-            uid += len(lists)
+            uids = (chunk << 24) + np.arange(n)
             rare = np.flatnonzero(at < 0)
-            n = len(lists)
-            sums = [np.add.reduceat(x[at], starts) for x in (logs, lps)]
-            k = np.add.reduceat(known[at].astype(np.int64), starts)
+            k, sums = (np.add.reduceat(x, starts) for x in (known[at].astype(np.int64), logs[at]))
             nil = pa.nulls(n, pa.binary())
-            spelt = np.add.reduceat(np.fromiter(map(len, flat), np.int64, len(flat)) + 1, starts) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uids), chunk.column("doc_id"), chunk.column("held_out"), pa.array(sizes), pa.array(spelt), pa.array(k), *map(pa.array, sums), pa.nulls(n, pa.int32()), nil, nil], names=names
-            )
+            numbers = (sizes, np.diff(ends, prepend=0), k, sums)
+            yield pa.RecordBatch.from_arrays([pa.array(uids), ids, pa.array(held), *map(pa.array, numbers), pa.nulls(n, pa.int32()), nil, nil], names=names)
             if len(rare):
                 h = np.fromiter((xxhash.xxh3_64_intdigest(flat[i]) for i in rare.tolist()), np.uint64, len(rare))
                 own = uids[np.searchsorted(starts, rare, "right") - 1]
@@ -273,42 +360,47 @@ def score(docs: DataFrame) -> DataFrame:
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=n_buckets))
                 parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 m = len(parts)
-                gone = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                gone = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays(
                     [*gone, pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([h[p].tobytes() for p in parts]), pa.array([own[p].tobytes() for p in parts])], names=names
                 )
 
-    done = settle(docs.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, lp double, bucket int, hashes binary, uids binary"))
+    done = settle(spelt.mapInArrow(read, _BASE))
 
     def table(batches):
         """The token table's rows of a partition as one row for each bucket and batch."""
         for batch in batches:
-            h, c, lp = batch.column("h").to_numpy().astype(np.uint64), batch.column("c").to_numpy(), batch.column("lp").to_numpy()
+            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             bucket = (h % np.uint64(n_buckets)).astype(np.int32)
             for b in np.unique(bucket):
                 rows = np.flatnonzero(bucket == b)
                 rows = rows[np.argsort(h[rows])]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x[rows].tobytes()]) for x in (h, c, lp))], names=["bucket", "h", "c", "lp"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x[rows].tobytes()]) for x in (h, c))], names=["bucket", "h", "c"])
 
-    index = costs.select("h", "c", "lp").mapInArrow(table, "bucket int, h binary, c binary, lp binary")
+    index = vocabulary.select("word", "c").mapInArrow(table, "bucket int, h binary, c binary")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, c, lp = (np.concatenate([np.frombuffer(x, t) for x in right.column(n).to_pylist()] or [np.zeros(0, t)]) for n, t in (("h", np.uint64), ("c", np.int64), ("lp", float)))
+        h, c = (np.concatenate([np.frombuffer(x, t) for x in right.column(n).to_pylist()] or [np.zeros(0, t)]) for n, t in (("h", np.uint64), ("c", np.int64)))
         order = np.argsort(h)
-        h, logs, lp, known = h[order], base(c[order]), lp[order], c[order] > 0
+        h, logs, known = h[order], base(c[order]), c[order] > 0
         out = []
         for hashes, uids in zip(left.column("hashes"), left.column("uids"), strict=True):
             at = np.searchsorted(h, np.frombuffer(hashes.as_buffer(), np.uint64))
             uid, which = np.unique(np.frombuffer(uids.as_buffer(), np.int64), return_inverse=True)
-            out.append((uid, *(np.bincount(which, x[at], len(uid)) for x in (known, logs, lp))))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0)] * 4
-        return pa.table({"uid": pa.array(cols[0].astype(np.int64)), "k": pa.array(cols[1].astype(np.int64)), "b": cols[2], "l": cols[3]})
-
-    rare = probe(done.where("bucket is not null").select("bucket", "hashes", "uids"), index, {}, n_buckets, "uids", meet, "uid long, k long, b double, l double")
-    rare = rare.groupBy("uid").agg(*[F.sum(x).alias(x) for x in "kbl"])
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return done.where("uid is not null").drop("bucket", "hashes", "uids").join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("known", "k").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        plus("base", "b").alias("base_score"), plus("lp", "l").alias("score"),
-        (-plus("lp", "l") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+            out.append((uid, *(np.bincount(which, x[at], len(uid)) for x in (known, logs))))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0)] * 3
+        return pa.table({"uid": pa.array(cols[0].astype(np.int64)), "k": pa.array(cols[1].astype(np.int64)), "b": cols[2]})
+
+    rare = settle(probe(done.where("bucket is not null").select("bucket", "hashes", "uids"), index, {}, n_buckets, "uids", meet, "uid long, k long, b double"))
+    release(vocabulary)
+    n_bytes = done.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    costs = text_costs(spelt, n_bytes)
+    release(spelt)
+    more = rare.select("uid", "k", "b", F.lit(0.0).alias("lp")).unionByName(costs.select("uid", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("b"), "lp"))
+    more = more.groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("k", "b", "lp")])
+    return done.where("uid is not null").drop("bucket", "hashes", "uids").join(more, "uid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("k")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("b")).alias("base_score"), F.col("lp").alias("score"),
+        (-F.col("lp") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -109,6 +109,11 @@ def test_secrets_beside_signs(spark):
 # ---- language model
 
 
+def spelt_events(texts, depth):
+    ends = np.cumsum([len(t) for t in texts])
+    return language_model.text_events(b"".join(texts), ends, depth), ends
+
+
 def test_language_model(docs, rows):
     token = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
@@ -134,7 +139,7 @@ def test_rare_tokens_join(docs, monkeypatch):
 def test_context_tree_is_the_recursion():
     words = [b"ab", b"abc", b"b", b"\n", b"abd"]
     counts = np.array([4.0, 2, 1, 3, 0])
-    keys, ends = language_model.token_events(words, 2)
+    keys, ends = spelt_events(words, 2)
     found, which = np.unique(keys, return_inverse=True)
     n = np.bincount(which, np.repeat(counts, np.diff(ends, prepend=0)))
     got = language_model.weigh(found, n, 2)
@@ -181,7 +186,7 @@ def test_context_tree_is_the_recursion():
 def test_context_tree_sums_to_one():
     """Over all bytes after a context the probabilities add up to one."""
     words = [bytes([97 + a, 97 + b]) for a, b in product(range(3), range(3))]
-    keys, ends = language_model.token_events(words, 2)
+    keys, ends = spelt_events(words, 2)
     every = np.unique(np.concatenate([keys, (np.unique(keys >> np.uint64(8))[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()]))
     n = np.isin(every, keys).astype(float)
     p = 10 ** language_model.weigh(every, n, 2)
@@ -189,24 +194,52 @@ def test_context_tree_sums_to_one():
         assert abs(p[every >> np.uint64(8) == ctx].sum() - 1) < 1e-9
 
 
-def test_depth_stays_on_large_input(spark):
-    """The tree is as deep over more than 2^19 events, and weighed in parts as in one piece."""
+def test_events_are_bytes_and_what_precedes_them():
+    texts = [b"ab c \n", b"\n", b"xyzxyz \n"]
+    keys, ends = spelt_events(texts, 6)
+    want = []
+    for t in texts:
+        for i in range(len(t)):
+            before = (b"\0" * 5 + b"\n" + t[:i])[-6:]
+            want.append(int.from_bytes(before + t[i : i + 1], "big"))
+    assert keys.tolist() == want and len(spelt_events([], 6)[0]) == 0
+    assert language_model._keys(language_model._planes(keys)).tolist() == want
+
+
+def test_scores_are_the_tree_of_the_whole_corpus(spark, monkeypatch):
+    """Six bytes of context over more than 2^19 events, in chunks, buckets and parts as in one piece."""
+    monkeypatch.setattr(language_model, "IN_CHUNK", 100_000)
+    monkeypatch.setattr(language_model, "IN_EVENTS", 60_000)
     rng = np.random.default_rng(4)
     words = ["".join(map(chr, row)) for row in rng.integers(97, 123, (75_000, 10))]
-    texts = [" ".join(words[i::50]) for i in range(50)]
+    texts = [" ".join(words[i::50]) for i in range(50)] + [None, "", "a  B\tc"]
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
-    c = Counter(w for d, t in enumerate(texts) for w in [*t.encode().split(), b"\n"] if not held(d))
-    every = [*{w.encode() for w in words}, b"\n"]
-    keys, ends = language_model.token_events(every, 6)
+    spelt = [" ".join([*(t or "").lower().split(), "\n"]).encode() for t in texts]
+    keys, ends = spelt_events(spelt, 6)
     found, which = np.unique(keys, return_inverse=True)
     assert len(found) > 1 << 19
-    n = np.bincount(which, np.repeat([float(c[w]) for w in every], np.diff(ends, prepend=0)), len(found))
+    n = np.bincount(which, np.repeat([float(not held(d)) for d in range(len(texts))], np.diff(ends, prepend=0)), len(found))
     lp = np.add.reduceat(language_model.weigh(found, n, 6)[which], ends - np.diff(ends, prepend=0))
-    cost = dict(zip(every, lp, strict=True))
     out = language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
-    assert len(out) == 50
+    assert len(out) == len(texts)
     for r in out:
-        assert abs(r.score - sum(cost[w] for w in [*texts[r.doc_id].encode().split(), b"\n"])) < 1e-6
+        assert abs(r.score - lp[r.doc_id]) < 1e-7 * abs(lp[r.doc_id])
+
+
+def test_words_before_are_context(spark):
+    """Where a word follows from the one before, the model is ahead of the unigram base on held-out texts."""
+    rng = np.random.default_rng(6)
+    words = ["".join(map(chr, row)) for row in rng.integers(97, 123, (300, 5))]
+    follows = rng.permutation(300)
+    texts = []
+    for _ in range(400):
+        k, out = int(rng.integers(300)), []
+        for _ in range(60):
+            out.append(words[k])
+            k = int(follows[k]) if rng.random() < 0.9 else int(rng.integers(300))
+        texts.append(" ".join(out))
+    out = language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").collect()
+    assert sum(r.score for r in out) > 0.6 * sum(r.base_score for r in out)
 
 
 def test_an_id_is_one_candidate(spark):
