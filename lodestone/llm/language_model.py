@@ -39,7 +39,7 @@ END = b"\n"
 #: Distinct tokens that a task gathers before it passes them on, and in a bucket of the token table.
 GATHERED, IN_BUCKET = 300_000, 400_000
 #: Bytes of text in a chunk, and for each bucket of events and part of the tree.
-IN_CHUNK, IN_EVENTS = 4 << 20, 16 << 20
+IN_CHUNK, IN_EVENTS = 3 << 20, 16 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -53,24 +53,46 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 def text_events(spelt: bytes, ends: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Keys of all bytes of the texts that end at ``ends``: context in the high bytes with the nearest lowest, then the byte."""
-    flat = np.frombuffer(spelt, np.uint8).astype(np.uint64)
-    key = flat.copy()
-    if not len(flat):
-        return key
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    for d in range(1, depth + 1):
-        before = np.zeros(len(flat), np.uint64)
-        before[d:] = flat[:-d]
-        for k in range(d):  # a text's k-th byte has k of its own bytes before it
-            at = starts + k
-            before[at[at < ends]] = END[0] if k == d - 1 else 0
-        before <<= np.uint64(8 * d)
-        key |= before
+    # the eight bytes up to each position, read as one number
+    key = np.ndarray(len(spelt), ">u8", bytes(7) + spelt, strides=(1,)).astype(np.uint64)
+    key &= np.uint64((1 << 8 * (depth + 1)) - 1)
+    starts = (np.concatenate([[0], ends[:-1]]) if len(ends) else ends).astype(np.int64)
+    for k in range(depth):  # a text's k-th byte has k of its own bytes before it
+        at = starts + k
+        at = at[at < ends]
+        key[at] = key[at] & np.uint64((1 << 8 * (k + 1)) - 1) | np.uint64(END[0] << 8 * (k + 1))
     return key
 
 
+#: log_gamma of n + 1/2 and of n + 1 for the usual counts.
+_SMALL = [log_gamma(np.arange(4096) + shift) for shift in (0.5, 1.0)]
+
+
+def _log_gamma(n: np.ndarray, k: int) -> np.ndarray:
+    small = n < 4096
+    out = _SMALL[k][np.where(small, n, 0).astype(np.int64)]
+    if not small.all():
+        out[~small] = log_gamma(n[~small] + (0.5, 1.0)[k])
+    return out
+
+
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
+    """Of whole numbers of zeros and ones."""
+    return _log_gamma(zeros, 0) + _log_gamma(ones, 0) - _log_gamma(zeros + ones, 1) - np.log(np.pi)
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct value, ascending, and the number of each element's value."""
+    order = np.argsort(x)
+    at = _firsts(x[order])
+    which = np.empty(len(x), np.int64)
+    which[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(x)))
+    return order[at], which
 
 
 def _decision(keys: np.ndarray, n: np.ndarray, j: int, low: int, depth: int):
@@ -82,7 +104,7 @@ def _decision(keys: np.ndarray, n: np.ndarray, j: int, low: int, depth: int):
     inv, first, n0, n1, kt = [], [], [], [], []
     for d in range(low, depth + 1):
         mask = np.uint64((1 << (8 * d)) - 1)
-        _, at, which = np.unique(((ctx & mask) << np.uint64(8)) | prefix, return_index=True, return_inverse=True)
+        at, which = _groups(((ctx & mask) << np.uint64(8)) | prefix)
         ones, zeros = (np.bincount(which, n * b, len(at)) for b in (bit, 1 - bit))
         inv.append(which)
         first.append(at)
@@ -211,11 +233,6 @@ def _all_keys(table: pa.Table) -> np.ndarray:
     return np.concatenate([_keys(k) for k in table.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
 
 
-def _firsts(x: np.ndarray) -> np.ndarray:
-    """Where each value of a sorted array begins."""
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-
-
 def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The buckets that events fall in, ascending, and the places of each bucket's events."""
     bucket = (mix(keys) % np.uint64(n)).astype(np.int64)
@@ -228,11 +245,14 @@ def _count(n_buckets: int):
     def count(batches):
         """The distinct events of each chunk with their number in training, by bucket."""
         for _, spelt, ends, held, _ in _chunks(batches):
-            x = text_events(spelt, ends) << np.uint64(1)
-            x |= np.repeat(~held, np.diff(ends, prepend=0)).astype(np.uint64)
+            x = text_events(spelt, ends)
+            x <<= np.uint64(1)
+            x |= np.repeat(~held, np.diff(ends, prepend=0)).view(np.uint8)
             x.sort()
-            at = _firsts(x >> np.uint64(1))
-            n, found = np.add.reduceat(x & np.uint64(1), at).astype(np.uint32), x[at] >> np.uint64(1)
+            trained = (x & np.uint64(1)).astype(np.uint32)
+            x >>= np.uint64(1)
+            at = _firsts(x)
+            n, found = np.add.reduceat(trained, at, dtype=np.uint32), x[at]
             bucket, parts = _dealt(found, n_buckets)
             columns = [pa.array(bucket.astype(np.int32)), pa.array([_planes(found[p]) for p in parts]), pa.array([n[p].tobytes() for p in parts])]
             yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "n"])
@@ -244,7 +264,7 @@ def _merge(n_trees: int):
     def merge(table: pa.Table) -> pa.Table:
         """Each event of a bucket once, by part of the tree."""
         keys, n = _all_keys(table), unpack(table, "n", np.uint32)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys = keys[order]
         at = _firsts(keys)
         out = {"keys": keys[at], "n": np.add.reduceat(n[order].astype(float), at)}
@@ -299,7 +319,7 @@ def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
         given = dict(zip(right.column("bucket").to_pylist(), right.column("logs").to_pylist(), strict=True))
         chunk, text, ends, _, _ = next(_chunks(left.combine_chunks().to_batches()))
         x = text_events(text, ends)
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x)
         x = x[order]
         at = _firsts(x)
         logs = np.zeros(len(at))
