@@ -190,6 +190,29 @@ _CHUNK = "chunk long, spelt binary, sizes binary, held binary, doc_ids array<lon
 _BASE = "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, bucket int, hashes binary, uids binary"
 
 
+def _pressed(raw: bytes) -> bytes:
+    return pa.compress(raw, "zstd", asbytes=True)
+
+
+def _raw(pressed: bytes, size: int) -> bytes:
+    return pa.decompress(pressed, size, "zstd", asbytes=True)
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers of so many bytes, byte by byte, compressed."""
+    return _pressed(x.view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes())
+
+
+def _numbers(table: pa.Table, name: str, kind: type, width: int) -> list[np.ndarray]:
+    """The numbers of each row of a packed column, of which the column m has the count."""
+    out = []
+    for raw, m in zip(table.column(name).to_pylist(), table.column("m").to_pylist(), strict=True):
+        x = np.zeros((m, np.dtype(kind).itemsize), np.uint8)
+        x[:, :width] = np.frombuffer(_raw(raw, m * width), np.uint8).reshape(width, m).T
+        out.append(x.reshape(-1).view(kind))
+    return out
+
+
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each chunk: its texts spelt one after the other, their sizes, and whether they are held out."""
     number = TaskContext.get().partitionId() << 20
@@ -197,7 +220,7 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [b" ".join([*raw.lower().split(), END]) if raw else END for raw in column_bytes(chunk)]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         held = chunk.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        cells = [[number], [b"".join(texts)], [sizes.tobytes()], [held.tobytes()], [chunk.column("doc_id").to_pylist()]]
+        cells = [[number], [_pressed(b"".join(texts))], [sizes.tobytes()], [held.tobytes()], [chunk.column("doc_id").to_pylist()]]
         types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=["chunk", "spelt", "sizes", "held", "doc_ids"])
         number += 1
@@ -210,7 +233,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
             row = {name: batch.column(name)[i] for name in batch.schema.names}
             ends = np.cumsum(np.frombuffer(row["sizes"].as_py(), np.int64))
             held = np.frombuffer(row["held"].as_py(), bool) if "held" in row else None
-            yield row["chunk"].as_py(), row["spelt"].as_py(), ends, held, row["doc_ids"].values if "doc_ids" in row else None
+            yield row["chunk"].as_py(), _raw(row["spelt"].as_py(), int(ends[-1])), ends, held, row["doc_ids"].values if "doc_ids" in row else None
 
 
 def _split(spelt: bytes, ends: np.ndarray) -> list[list[bytes]]:
@@ -218,21 +241,6 @@ def _split(spelt: bytes, ends: np.ndarray) -> list[list[bytes]]:
     return [[*spelt[a : b - 1].split(), END] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Sorted keys (of seven bytes), byte by byte, so that they compress."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
-
-
-def _keys(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(7, -1).T
-    return out.reshape(-1).view("<u8")
-
-
-def _all_keys(table: pa.Table) -> np.ndarray:
-    return np.concatenate([_keys(k) for k in table.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
-
-
 def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The buckets that events fall in, ascending, and the places of each bucket's events."""
     bucket = (mix(keys) % np.uint64(n)).astype(np.int64)
@@ -254,8 +262,8 @@ def _count(n_buckets: int):
             at = _firsts(x)
             n, found = np.add.reduceat(trained, at, dtype=np.uint32), x[at]
             bucket, parts = _dealt(found, n_buckets)
-            columns = [pa.array(bucket.astype(np.int32)), pa.array([_planes(found[p]) for p in parts]), pa.array([n[p].tobytes() for p in parts])]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "n"])
+            columns = [[_planes(found[p], 7) for p in parts], [_planes(n[p], 4) for p in parts], list(map(len, parts))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *map(pa.array, columns)], names=["bucket", "keys", "n", "m"])
 
     return count
 
@@ -263,7 +271,7 @@ def _count(n_buckets: int):
 def _merge(n_trees: int):
     def merge(table: pa.Table) -> pa.Table:
         """Each event of a bucket once, by part of the tree."""
-        keys, n = _all_keys(table), unpack(table, "n", np.uint32)
+        keys, n = np.concatenate(_numbers(table, "keys", np.uint64, 7)), np.concatenate(_numbers(table, "n", np.uint32, 4))
         order = np.argsort(keys)
         keys = keys[order]
         at = _firsts(keys)
@@ -284,7 +292,7 @@ def _roots(table: pa.Table) -> pa.Table:
 def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
     """uid and lp, the log10 probability, of each text of the chunks."""
     n = max(8, n_bytes // IN_EVENTS)
-    counted = spelt.select("chunk", "spelt", "sizes", "held").mapInArrow(_count(n), "bucket int, keys binary, n binary")
+    counted = spelt.select("chunk", "spelt", "sizes", "held").mapInArrow(_count(n), "bucket int, keys binary, n binary, m long")
     events = settle(counted.groupBy("bucket").applyInArrow(_merge(n), "tree int, bucket int, keys binary, n binary"))
     sums = np.zeros((3, 256**LOW))
     nodes = events.groupBy("tree").applyInArrow(_roots, "node int, zeros double, ones double, below double")
@@ -303,20 +311,20 @@ def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
             x = text_events(text, ends)
             x.sort()
             bucket, parts = _dealt(found := x[_firsts(x)], n)
-            columns = [pa.array(bucket.astype(np.int32)), pa.array([chunk] * len(parts), pa.int64()), pa.array([_planes(found[p]) for p in parts])]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "keys"])
+            columns = [[chunk] * len(parts), [_planes(found[p], 7) for p in parts], list(map(len, parts))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *map(pa.array, columns)], names=["bucket", "chunk", "keys", "m"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         """The costs of asked events, in their order."""
         keys, logs = unpack(right, "keys", np.uint64), unpack(right, "logs", np.float32)
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
-        got = [logs[np.searchsorted(keys, _keys(k))].tobytes() for k in left.column("keys").to_pylist()]
-        return pa.table({"chunk": left.column("chunk"), "bucket": left.column("bucket"), "logs": pa.array(got, pa.binary())})
+        got = [_planes(logs[np.searchsorted(keys, k)], 4) for k in _numbers(left, "keys", np.uint64, 7)]
+        return pa.table({"chunk": left.column("chunk"), "bucket": left.column("bucket"), "logs": pa.array(got, pa.binary()), "m": left.column("m")})
 
     def cost(left: pa.Table, right: pa.Table) -> pa.Table:
         """Sums over the bytes of each text."""
-        given = dict(zip(right.column("bucket").to_pylist(), right.column("logs").to_pylist(), strict=True))
+        given = dict(zip(right.column("bucket").to_pylist(), _numbers(right, "logs", np.float32, 4), strict=True))
         chunk, text, ends, _, _ = next(_chunks(left.combine_chunks().to_batches()))
         x = text_events(text, ends)
         order = np.argsort(x)
@@ -324,15 +332,15 @@ def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
         at = _firsts(x)
         logs = np.zeros(len(at))
         for b, p in zip(*_dealt(x[at], n), strict=True):
-            logs[p] = np.frombuffer(given[int(b)], np.float32)
+            logs[p] = given[int(b)]
         each = np.empty(len(x))
         each[order] = np.repeat(logs, np.diff(at, append=len(x)))
         return pa.table({"uid": (chunk << 24) + np.arange(len(ends)), "lp": np.add.reduceat(each, ends - np.diff(ends, prepend=0))})
 
     logs = events.groupBy("tree").applyInArrow(weighed, "bucket int, keys binary, logs binary")
     texts = spelt.select("chunk", "spelt", "sizes")
-    asked = texts.mapInArrow(ask, "bucket int, chunk long, keys binary")
-    answers = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, logs binary")
+    asked = texts.mapInArrow(ask, "bucket int, chunk long, keys binary, m long")
+    answers = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, logs binary, m long")
     costs = settle(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cost, "uid long, lp double"))
     release(events)
     return costs

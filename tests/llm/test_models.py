@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import language_model, mixing, neighbours, packing, secrets
@@ -203,7 +204,8 @@ def test_events_are_bytes_and_what_precedes_them():
             before = (b"\0" * 5 + b"\n" + t[:i])[-6:]
             want.append(int.from_bytes(before + t[i : i + 1], "big"))
     assert keys.tolist() == want and len(spelt_events([], 6)[0]) == 0
-    assert language_model._keys(language_model._planes(keys)).tolist() == want
+    packed = pa.table({"keys": [language_model._planes(keys, 7)], "m": [len(keys)]})
+    assert language_model._numbers(packed, "keys", np.uint64, 7)[0].tolist() == want
 
 
 def test_scores_are_the_tree_of_the_whole_corpus(spark, monkeypatch):
