@@ -11,8 +11,9 @@ context that training hasn't seen leaves the estimate to the longest one that it
 The spelt texts are kept in chunks. Each chunk's distinct events (context, byte) are counted and dealt by
 their hash, so a frequent context is spread over all buckets, and merged to one table of events. The
 tree is dealt by the ``LOW`` nearest bytes of the context: what lies below such a node is weighed in one
-task, and the driver has the nodes above alone, 256 x 256 at most. Then each chunk asks the buckets for the
-costs of its events and sums them for its texts; they travel as 32-bit floats. For the base, the ``HEAD``
+task, and the driver has the nodes above alone, 256 x 256 at most. The ``HEAD_EVENTS`` most frequent events
+are broadcast with their costs; each chunk asks the buckets for its others' and sums them for its texts.
+Costs travel as 32-bit floats. For the base, the ``HEAD``
 most frequent tokens are broadcast with their counts; the others meet the token table in a join by hash bucket.
 
 Defined cases: a null text is empty and has its end alone; a null doc_id is in training; repeated
@@ -40,6 +41,8 @@ END = b"\n"
 GATHERED, IN_BUCKET = 300_000, 400_000
 #: Bytes of text in a chunk, and for each bucket of events and part of the tree.
 IN_CHUNK, IN_EVENTS = 3 << 20, 16 << 20
+#: Frequent events that are broadcast with their costs, at most.
+HEAD_EVENTS = 1 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -242,8 +245,10 @@ def _split(spelt: bytes, ends: np.ndarray) -> list[list[bytes]]:
 
 
 def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The buckets that events fall in, ascending, and the places of each bucket's events."""
-    bucket = (mix(keys) % np.uint64(n)).astype(np.int64)
+    """The buckets that events fall in, ascending, and the places of each bucket's events.
+
+    Dealt by the four farthest bytes: neighbours in order stay together and compress, and no such group is large."""
+    bucket = (mix(keys >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     at = _firsts(bucket[order])
     return bucket[order][at], np.split(order, at[1:])
@@ -283,10 +288,28 @@ def _merge(n_trees: int):
     return merge
 
 
+def _bits(n: np.ndarray) -> np.ndarray:
+    return np.frexp(n)[1]
+
+
 def _roots(table: pa.Table) -> pa.Table:
-    sums = roots(unpack(table, "keys", np.uint64), unpack(table, "n", float), DEPTH)
-    node = np.flatnonzero(sums.any(0))
-    return pa.table({"node": pa.array(node.astype(np.int32))} | {name: x[node] for name, x in zip(("zeros", "ones", "below"), sums, strict=True)})
+    """The part's roots(); and, as nodes -1 - b, how many of its events have counts of b bits."""
+    n = unpack(table, "n", float)
+    sums = roots(unpack(table, "keys", np.uint64), n, DEPTH)
+    node, of_bits = np.flatnonzero(sums.any(0)), np.bincount(_bits(n), minlength=1)
+    many = np.concatenate([node, -1 - np.arange(len(of_bits))]).astype(np.int32)
+    rest = np.zeros((3, len(of_bits)))
+    rest[0] = of_bits
+    return pa.table({"node": pa.array(many)} | {name: x for name, x in zip(("zeros", "ones", "below"), np.concatenate([sums[:, node], rest], 1), strict=True)})
+
+
+def _head_bits(of_bits: dict[int, float]) -> int:
+    """The least number of bits such that at most HEAD_EVENTS events have counts of as many or more."""
+    least, seen = max(of_bits, default=0) + 1, 0
+    while least > 1 and seen + of_bits.get(least - 1, 0) <= HEAD_EVENTS:
+        least -= 1
+        seen += of_bits.get(least, 0)
+    return least
 
 
 def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
@@ -297,25 +320,54 @@ def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
     sums = np.zeros((3, 256**LOW))
     nodes = events.groupBy("tree").applyInArrow(_roots, "node int, zeros double, ones double, below double")
     nodes = nodes.groupBy("node").agg(*[F.sum(x).alias(x) for x in ("zeros", "ones", "below")]).toPandas()  # 256 ** LOW rows at most
+    least = _head_bits({-1 - int(k): v for k, v in zip(nodes["node"], nodes["zeros"], strict=True) if k < 0})
+    nodes = nodes[nodes["node"] >= 0]
     sums[:, nodes["node"].to_numpy(int)] = nodes[["zeros", "ones", "below"]].to_numpy(float).T
     top = spelt.sparkSession.sparkContext.broadcast(crown(sums))
 
     def weighed(table: pa.Table) -> pa.Table:
-        logs = weigh(unpack(table, "keys", np.uint64), unpack(table, "n", float), DEPTH, top.value).astype(np.float32)
-        cuts = np.cumsum([len(k) // 8 for k in table.column("keys").to_pylist()])[:-1]
-        return pa.table({"bucket": table.column("bucket"), "keys": table.column("keys"), "logs": pa.array([x.tobytes() for x in np.split(logs, cuts)], pa.binary())})
+        """The costs of all events: the frequent ones as bucket -1, the others by bucket."""
+        keys, n = unpack(table, "keys", np.uint64), unpack(table, "n", float)
+        logs = weigh(keys, n, DEPTH, top.value).astype(np.float32)
+        head = _bits(n) >= least
+        owner = np.repeat(np.arange(table.num_rows), [len(k) // 8 for k in table.column("keys").to_pylist()])
+        parts = [np.flatnonzero(head), *(p[~head[p]] for p in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(owner)) + 1))]
+        columns = [[-1, *table.column("bucket").to_pylist()], [keys[p].tobytes() for p in parts], [logs[p].tobytes() for p in parts]]
+        types = zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in types], names=["bucket", "keys", "logs"])
+
+    costs = settle(events.groupBy("tree").applyInArrow(weighed, "bucket int, keys binary, logs binary"))
+    release(events)
+    known = costs.where("bucket = -1").toArrow()  # HEAD_EVENTS events at most
+    keys, logs = unpack(known, "keys", np.uint64), unpack(known, "logs", np.float32)
+    order = np.argsort(keys)
+    head = spelt.sparkSession.sparkContext.broadcast((keys[order], logs[order]))
+
+    def frequent(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sorted events are broadcast, and their costs."""
+        keys, logs = head.value
+        at = np.searchsorted(keys, found) if len(keys) else np.zeros(len(found), np.int64)
+        at[at == len(keys)] = 0
+        hit = keys[at] == found if len(keys) else np.zeros(len(found), bool)
+        return hit, logs[at[hit]]
 
     def ask(batches):
         """The distinct events of each chunk, by bucket."""
         for chunk, text, ends, _, _ in _chunks(batches):
             x = text_events(text, ends)
             x.sort()
-            bucket, parts = _dealt(found := x[_firsts(x)], n)
+            found = x[_firsts(x)]
+            found = found[~frequent(found)[0]]
+            if not len(found):
+                continue
+            bucket, parts = _dealt(found, n)
             columns = [[chunk] * len(parts), [_planes(found[p], 7) for p in parts], list(map(len, parts))]
             yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *map(pa.array, columns)], names=["bucket", "chunk", "keys", "m"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         """The costs of asked events, in their order."""
+        if not left.num_rows:  # all of the bucket's events are broadcast
+            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "logs": pa.array([], pa.binary()), "m": pa.array([], pa.int64())})
         keys, logs = unpack(right, "keys", np.uint64), unpack(right, "logs", np.float32)
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
@@ -331,19 +383,22 @@ def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
         x = x[order]
         at = _firsts(x)
         logs = np.zeros(len(at))
-        for b, p in zip(*_dealt(x[at], n), strict=True):
-            logs[p] = given[int(b)]
+        hit, usual = frequent(x[at])
+        logs[hit] = usual
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            for b, p in zip(*_dealt(x[at[rest]], n), strict=True):
+                logs[rest[p]] = given[int(b)]
         each = np.empty(len(x))
         each[order] = np.repeat(logs, np.diff(at, append=len(x)))
         return pa.table({"uid": (chunk << 24) + np.arange(len(ends)), "lp": np.add.reduceat(each, ends - np.diff(ends, prepend=0))})
 
-    logs = events.groupBy("tree").applyInArrow(weighed, "bucket int, keys binary, logs binary")
     texts = spelt.select("chunk", "spelt", "sizes")
     asked = texts.mapInArrow(ask, "bucket int, chunk long, keys binary, m long")
-    answers = asked.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, logs binary, m long")
-    costs = settle(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cost, "uid long, lp double"))
-    release(events)
-    return costs
+    answers = asked.groupBy("bucket").cogroup(costs.where("bucket >= 0").groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, logs binary, m long")
+    out = settle(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cost, "uid long, lp double"))
+    release(costs)
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -420,15 +475,16 @@ def score(docs: DataFrame) -> DataFrame:
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0)] * 3
         return pa.table({"uid": pa.array(cols[0].astype(np.int64)), "k": pa.array(cols[1].astype(np.int64)), "b": cols[2]})
 
-    rare = settle(probe(done.where("bucket is not null").select("bucket", "hashes", "uids"), index, {}, n_buckets, "uids", meet, "uid long, k long, b double"))
-    release(vocabulary)
-    n_bytes = done.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    costs = text_costs(spelt, n_bytes)
+    rare = probe(done.where("bucket is not null").select("bucket", "hashes", "uids"), index, {}, n_buckets, "uids", meet, "uid long, k long, b double")
+    rare = rare.groupBy("uid").agg(*[F.sum(x).alias(x) for x in "kb"])
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    rows = settle(done.where("uid is not null").join(rare, "uid", "left").select(
+        "uid", "doc_id", "held_out", "n_tokens", "n_bytes", plus("known", "k").alias("n_known"), plus("base", "b").alias("base_score")
+    ))
+    release(vocabulary, done)
+    costs = text_costs(spelt, rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     release(spelt)
-    more = rare.select("uid", "k", "b", F.lit(0.0).alias("lp")).unionByName(costs.select("uid", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("b"), "lp"))
-    more = more.groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("k", "b", "lp")])
-    return done.where("uid is not null").drop("bucket", "hashes", "uids").join(more, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("k")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("b")).alias("base_score"), F.col("lp").alias("score"),
+    return rows.join(costs, "uid", "left").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", F.col("lp").alias("score"),
         (-F.col("lp") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )

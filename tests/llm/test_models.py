@@ -208,10 +208,12 @@ def test_events_are_bytes_and_what_precedes_them():
     assert language_model._numbers(packed, "keys", np.uint64, 7)[0].tolist() == want
 
 
-def test_scores_are_the_tree_of_the_whole_corpus(spark, monkeypatch):
+@pytest.mark.parametrize("head", [0, 200_000, 1 << 20])
+def test_scores_are_the_tree_of_the_whole_corpus(spark, monkeypatch, head):
     """Six bytes of context over more than 2^19 events, in chunks, buckets and parts as in one piece."""
     monkeypatch.setattr(language_model, "IN_CHUNK", 100_000)
     monkeypatch.setattr(language_model, "IN_EVENTS", 60_000)
+    monkeypatch.setattr(language_model, "HEAD_EVENTS", head)
     rng = np.random.default_rng(4)
     words = ["".join(map(chr, row)) for row in rng.integers(97, 123, (75_000, 10))]
     texts = [" ".join(words[i::50]) for i in range(50)] + [None, "", "a  B\tc"]
