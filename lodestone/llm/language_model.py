@@ -303,12 +303,12 @@ def _roots(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(many)} | {name: x for name, x in zip(("zeros", "ones", "below"), np.concatenate([sums[:, node], rest], 1), strict=True)})
 
 
-def _head_bits(of_bits: dict[int, float]) -> int:
-    """The least number of bits such that at most HEAD_EVENTS events have counts of as many or more."""
-    least, seen = max(of_bits, default=0) + 1, 0
-    while least > 1 and seen + of_bits.get(least - 1, 0) <= HEAD_EVENTS:
+def _least(many: dict[int, float], most: int, lowest: int) -> int:
+    """From how many things are of each grade: the least grade such that at most ``most`` are of it or higher."""
+    least, seen = max(many, default=lowest) + 1, 0
+    while least > lowest and seen + many.get(least - 1, 0) <= most:
         least -= 1
-        seen += of_bits.get(least, 0)
+        seen += many.get(least, 0)
     return least
 
 
@@ -320,7 +320,7 @@ def text_costs(spelt: DataFrame, n_bytes: int) -> DataFrame:
     sums = np.zeros((3, 256**LOW))
     nodes = events.groupBy("tree").applyInArrow(_roots, "node int, zeros double, ones double, below double")
     nodes = nodes.groupBy("node").agg(*[F.sum(x).alias(x) for x in ("zeros", "ones", "below")]).toPandas()  # 256 ** LOW rows at most
-    least = _head_bits({-1 - int(k): v for k, v in zip(nodes["node"], nodes["zeros"], strict=True) if k < 0})
+    least = _least({-1 - int(k): v for k, v in zip(nodes["node"], nodes["zeros"], strict=True) if k < 0}, HEAD_EVENTS, 1)
     nodes = nodes[nodes["node"] >= 0]
     sums[:, nodes["node"].to_numpy(int)] = nodes[["zeros", "ones", "below"]].to_numpy(float).T
     top = spelt.sparkSession.sparkContext.broadcast(crown(sums))
@@ -412,7 +412,9 @@ def score(docs: DataFrame) -> DataFrame:
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("total"), F.lit(0)).alias("seen")).first()
     n_train, whole = sums["n"], sums["n"] + 0.5 * (sums["v"] + 1)
     n_buckets = max(8, -(-sums["all"] // IN_BUCKET), sums["seen"] // (20 * IN_BUCKET))
-    top = vocabulary.orderBy(F.desc("total"), "word").limit(HEAD).select("word", "c").toPandas()
+    grade = F.floor(F.log2("total") * 8)
+    least = _least({r["grade"]: r["count"] for r in vocabulary.groupBy(grade.alias("grade")).count().collect()}, HEAD, 0)
+    top = vocabulary.where(grade >= least).select("word", "c").toPandas()  # HEAD rows at most
     place = {bytes(w): i for i, w in enumerate(top["word"])}
     base = lambda c: np.log10((c + 0.5) / whole)
     head = spark.sparkContext.broadcast((place, base(top["c"].to_numpy(float)), top["c"].to_numpy() > 0))
