@@ -40,7 +40,7 @@ END = b"\n"
 #: Distinct tokens that a task gathers before it passes them on, and in a bucket of the token table.
 GATHERED, IN_BUCKET = 300_000, 400_000
 #: Bytes of text in a chunk, and for each bucket of events and part of the tree.
-IN_CHUNK, IN_EVENTS = 3 << 20, 16 << 20
+IN_CHUNK, IN_EVENTS = 3 << 20, 8 << 20
 #: Frequent events that are broadcast with their costs, at most.
 HEAD_EVENTS = 1 << 20
 
