@@ -2,7 +2,8 @@
 
 A document is the set of its distinct shingles; two documents link when their sets' Jaccard
 similarity is at least ``percent`` / 100. Documents of size 2^t to 2^(t+1) stand in tile t, and those
-whose partner may be larger than that in tile t + 1 too, so that linked documents share a tile. In a
+whose partner may be larger than that in the tiles above too, up to the largest partner's (below 50
+percent that may be several), so that linked documents share a tile. In a
 tile, two linked sets differ in at most D elements. The shingles are dealt by hash to more than D
 parts, so that at least one part that isn't empty is equal in both; equal parts, found by a sum of
 hashes, are a tile's cells. (A set with D non-empty parts or fewer gets a cell of its kind besides.)
@@ -75,9 +76,12 @@ def cells(owner: np.ndarray, grams: np.ndarray, n_docs: int, percent: int) -> tu
     size = np.bincount(owner, minlength=n_docs)
     tile = np.frexp(np.maximum(size, 1).astype(float))[1] - 1
     out = [(np.zeros(0, int), np.zeros(0, np.uint64))]
-    for up in (0, 1):
+    most = int(size.max(initial=0)) * 100 // percent
+    for up in range(max(most, 1).bit_length()):
         t = tile + up
         inside = size > 0 if not up else (size > 0) & (size * 100 // percent >= 1 << t)
+        if not inside.any():
+            break
         top = (2 << t) - 1
         apart = (100 - percent) * 2 * top // (100 + percent)
         parts = np.where(apart == 0, 1, apart * 11 // 10 + 4)
@@ -206,6 +210,8 @@ PAIRS = "bucket int, a binary, b binary"
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, row (the document's key), n_shingles, component_id, label (the component; null for an empty document)."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is 1 to 100")
     n = n_buckets(docs)
     docs = docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row"))
 

@@ -123,6 +123,18 @@ def test_jaccard_join_loose_groups(spark):
         assert Counter(got) == Counter(components(rows, k, percent))
 
 
+def test_jaccard_join_below_half(spark):
+    """Linked sets may be several sizes apart: 127 and 260 words are two tiles from one another."""
+    word = [f"w{i}" for i in range(1000)]
+    rows = [(i, " ".join(word[a:b])) for i, (a, b) in enumerate([(0, 127), (0, 260), (400, 407), (400, 432), (500, 501), (500, 505), (600, 640)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (45, 20):
+        got = [(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(df, 1, percent).collect()]
+        assert Counter(got) == Counter(components(rows, 1, percent))
+    with pytest.raises(ValueError):
+        jaccard_join.join(df, 1, 0)
+
+
 def test_keep_one(docs, rows):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
