@@ -147,43 +147,38 @@ def _wide(got: pa.Table) -> list[np.ndarray]:
     return [np.array([b[k] for b in both], np.float32) for k in (0, 1)]
 
 
-def _surest(rows: DataFrame):
-    """For co_train(): scores all unlabelled rows in the executors and takes the surest of each class and view."""
+def _surest(rows: DataFrame, known: DataFrame | None = None):
+    """For co_train(): scores all rows in the executors and takes the surest unlabelled ones of each class and view.
+
+    known has the labelled ids; only the scores, not the views, are dealt by doc_id to leave them out."""
     taken: set[int] = set()
     #: What a list may lose to the two of the other view.
     most = 3 * HANDED_OVER
+    names, kinds = ("k", "c", "text_key", "far", "row", "doc_id"), (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
-    def best(batches):
-        """The surest texts of a partition for each view and class, once each."""
+    def sure(batches):
+        """The rows that a view is sure of."""
         t, e = model.value
-        lists: dict[tuple[int, int], dict[int, tuple[float, int]]] = {(k, c): {} for k in (0, 1) for c in (1, 0)}
         for batch in batches:
-            keys, ids = batch.column("text_key").to_numpy().tolist(), batch.column("row").to_numpy().tolist()
-            for key, row, views in zip(keys, ids, _unpacked(batch), strict=True):
+            out = []
+            keys, ids, docs = (batch.column(c).to_numpy().tolist() for c in ("text_key", "row", "doc_id"))
+            for key, row, doc, views in zip(keys, ids, docs, _unpacked(batch), strict=True):
                 if key in gone:
                     continue
                 for k, p in enumerate(sigmoid(np.array(_logit(views, t, e)))):
                     c = int(p >= 0.5)
                     if (p if c else 1 - p) >= SURE:
-                        new = (float(-p if c else p), row)
-                        old = lists[k, c].get(key)
-                        if old is None or new < old:
-                            lists[k, c][key] = new
-            for at, one in lists.items():
-                if len(one) > 4 * most:
-                    lists[at] = dict(sorted(one.items(), key=lambda x: (x[1][0], x[0]))[:most])
-        for (k, c), one in lists.items():
-            top = sorted(one.items(), key=lambda x: (x[1][0], x[0]))[:most]
-            yield pa.RecordBatch.from_pydict({
-                "k": pa.array([k] * len(top), pa.int32()), "c": pa.array([c] * len(top), pa.int32()), "text_key": pa.array([x[0] for x in top], pa.int64()),
-                "far": pa.array([x[1][0] for x in top], pa.float64()), "row": pa.array([x[1][1] for x in top], pa.int64()),
-            })
+                        out.append((k, c, key, float(-p if c else p), row, doc))
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
 
     def surest(ws):
         nonlocal model, gone
         model, gone = rows.sparkSession.sparkContext.broadcast(ws), frozenset(taken)
-        free = rows.where("y is null and doc_id is not null").select("row", "text_key", *[n for n, _ in _KINDS])
-        found = free.mapInArrow(best, "k int, c int, text_key long, far double, row long")
+        free = rows.where("doc_id is not null")
+        found = free.mapInArrow(sure, "k int, c int, text_key long, far double, row long, doc_id long")
+        if known is not None:
+            found = found.join(known, F.col("doc_id") == F.col("id"), "left_anti")
         found = settle(found.groupBy("k", "c", "text_key").agg(F.min(F.struct("far", "row")).alias("x")))
         picked = {}
         for k in (0, 1):
@@ -210,12 +205,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("double").alias("y"))
     rows = docs.select("*", row, F.xxhash64("text").alias("text_key")).mapInArrow(_kept_views, _KEPT)
-    # rows without an id are dealt by their hash, and meet no label
-    rows = settle(rows.join(known, (F.coalesce("doc_id", "row") == F.col("id")) & F.col("doc_id").isNotNull(), "left").drop("id"))
-    some = known.orderBy(F.xxhash64("id"), "id").limit(LABELLED).select(F.col("id").alias("doc_id"))
+    rows, known = settle(rows), settle(known)
+    some = known.orderBy(F.xxhash64("id"), "id").limit(LABELLED).select(F.col("id").alias("doc_id"), "y")
     got = rows.join(F.broadcast(some), "doc_id").orderBy("doc_id", "row").toArrow()  # the rows of LABELLED ids
     y = np.array(got.column("y").to_pylist(), float)
-    model = docs.sparkSession.sparkContext.broadcast(co_train(_wide(got), y, _surest(rows)))
+    model = docs.sparkSession.sparkContext.broadcast(co_train(_wide(got), y, _surest(rows, known.where("y is not null").select("id"))))
+    release(known)
 
     def apply(batches):
         m = model.value

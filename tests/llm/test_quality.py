@@ -140,3 +140,24 @@ def test_cotraining_searches_all_unlabelled(spark):
     assert len(given[0, 0.0][0]) == cotraining.HANDED_OVER
     again = {(k, c): found for k, c, found in surest(ws)}
     assert set(again) == {(0, 0.0)} and len(again[0, 0.0][0]) == cotraining.HANDED_OVER
+
+
+def test_cotraining_deals_no_views(spark, monkeypatch):
+    """However large the labels are, the table of views is written without a shuffle; labelled rows are never handed over."""
+    plans, settle, known = [], cotraining.settle, set()
+    monkeypatch.setattr(cotraining, "settle", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or settle(df))
+    wide = cotraining._wide
+    monkeypatch.setattr(cotraining, "_wide", lambda got: known.add(tuple(got.column("doc_id").to_pylist()) if "doc_id" in got.column_names else ()) or wide(got))
+    docs = [(i, " ".join(["good" if i % 2 else "bad"] * 5 + [f"w{(i * k) % 97}" for k in range(20)]), "en", "s", 100) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert cotraining.classify(df, lab).count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    views = [p for c, p in plans if "words" in c]
+    assert len(views) == 1 and "Exchange" not in views[0]
+    given = [set(x) for x in known if x and len(x) != 200]
+    assert given and all(min(x) >= 200 for x in given)
