@@ -41,6 +41,8 @@ SENTENCE, ANYWHERE, GAP = 8, 24, 64
 BLOCK = 1 << 19
 #: Words whose ids a worker remembers, at most (and one chunk's more).
 WORDS_KEPT = 700_000
+#: A special token of the vocabulary, and how many new words are encoded in a line with it between them.
+BETWEEN, IN_LINE = b"<|endoftext|>", 200
 #: Marks become dots, the first bytes of code points outside ASCII and U+00C0 to U+027F zeros, the rest letters.
 _SHAPE = bytes(
     32 if c in b" \t\n\v\f\r" else 46 if c < 128 and not chr(c).isalnum() else 0 if 0xC0 <= c < 0xC3 or c >= 0xCA else 97
@@ -67,7 +69,7 @@ class WordIds(dict):
             for i in self.tokenizer.encode(mark, add_special_tokens=False).ids:
                 self.ends[i] = True
         self.ends[END_ID] = False
-
+        self.mark = self.tokenizer.token_to_id(BETWEEN.decode())
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) + len(words) > WORDS_KEPT:
@@ -75,8 +77,26 @@ class WordIds(dict):
         new = list(words.difference(self))
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update(zip(part, [array("I", e.ids).tobytes() for e in found], strict=True))
+            self.update(zip(part, self.together(part) or self.each(part), strict=True))
+
+    def each(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def together(self, words: list[bytes]) -> list[bytes] | None:
+        """Many words to a line, cut at a special token, before which and after which text is encoded by itself; None if a word looks like one."""
+        if self.mark is None or any(b"<|" in w for w in words):
+            return None
+        lines = [BETWEEN.join(words[k : k + IN_LINE]).decode() for k in range(0, len(words), IN_LINE)]
+        ids = array("I")
+        for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids.extend(e.ids)
+            ids.append(self.mark)
+        raw = ids.tobytes()
+        ends = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)
+        if len(ends) != len(words):
+            return None
+        return [raw[a:b] for a, b in zip((4 * np.append(0, ends[:-1] + 1)).tolist(), (4 * ends).tolist(), strict=True)]
 
 
 def loose_words(raw: bytes | None) -> list[bytes]:

@@ -263,6 +263,19 @@ def test_an_id_is_one_candidate(spark):
 # ---- packing
 
 
+def test_packing_words_in_lines():
+    """Words encoded in a line have the ids that they have alone; words that look like a special token are encoded alone."""
+    cache = packing.WordIds(VOCABULARY)
+    odd = ["don't", "<", "|", "x<", "|endoftext|>", "\u0301a", "a\u0301", "e\u0301\u0301", "\u00a0", "\u200b", "1a2b", "'", "'s", "!!!?", "\U0001f600\U0001f601", "\u03a3\u0391\u03a3", "\ufb01", "#"]
+    words = [w.encode() for w in odd + [f"{a}{b}" for a in odd for b in odd]]
+    plain = [w for w in dict.fromkeys(words) if b"<|" not in w]
+    assert cache.together(plain) == cache.each(plain)
+    special = [*plain, b"<|endoftext|>", b"a<|startoftext|>b"]
+    assert cache.together(special) is None
+    cache.learn(set(special))
+    assert [cache[w] for w in special] == cache.each(special)
+
+
 def test_packing(docs, rows):
     tokenizer = tokenizers.Tokenizer.from_file(VOCABULARY)
     ids = lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
