@@ -212,7 +212,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     """doc_id, row (the document's key), n_shingles, component_id, label (the component; null for an empty document)."""
     if not 1 <= percent <= 100:
         raise ValueError("percent is 1 to 100")
-    n = n_buckets(docs)
+    n, cores = n_buckets(docs), 2 * docs.sparkSession.sparkContext.defaultParallelism
     docs = docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     shared = repeated_keys(packed.mapInArrow(thin, "bucket int, keys binary, entries long"))
     hot = hot_buckets(shared)
     lying = probe(packed, shared, hot, n, "rows", pick_shared(n), packed_schema("keys"))
-    lying = settle(gather(lying, {"keys": np.uint64}))
+    lying = settle(gather(lying, {"keys": np.uint64}), seen, tasks=cores)
     release(shared)
     own = settle(seen.where("row is not null").select("row", "doc_id", "n", "node"))
     release(seen)
@@ -272,8 +272,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
                 pairs = pairs.join(held.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
             return pairs
 
-        maybe = settle(beside(pairs, ("n", "map")).mapInArrow(lambda it: bounded(it, percent), "a long, b long"))
-        found = settle(beside(maybe, ("set",)).mapInArrow(lambda it: links(it, percent), "a long, b long"))
+        maybe = settle(beside(pairs, ("n", "map")).mapInArrow(lambda it: bounded(it, percent), "a long, b long"), held, tasks=cores)
+        found = settle(beside(maybe, ("set",)).mapInArrow(lambda it: links(it, percent), "a long, b long"), held, tasks=cores)
         release(maybe)
         return found
 
@@ -325,7 +325,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             return pa.table({"bucket": table.column("bucket")[:1]} | {c: pa.array([x[many].tobytes()]) for c, x in (("cell", keys), ("chosen", rows), ("its", labels), ("count", count))})
 
         schema = "bucket int, " + ", ".join(f"{c} binary" for c in names)
-        return settle(spread.mapInArrow(thin, schema).groupBy("bucket").applyInArrow(merge, "bucket int, cell binary, chosen binary, its binary, count binary"))
+        return settle(spread.mapInArrow(thin, schema).groupBy("bucket").applyInArrow(merge, "bucket int, cell binary, chosen binary, its binary, count binary"), spread, tasks=cores)
 
     def tries(spread: DataFrame, mixed: DataFrame, one_each: bool) -> DataFrame:
         def pair(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -365,14 +365,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         dealt = dealt.join(held.select("row", "n", "map"), "row")
         return distinct_pairs(dealt.groupBy("group", "i", "j").applyInArrow(lambda t: packed_pairs(*compare_cells(t, percent), n), PAIRS))
 
-    found, labels = None, None
+    found, inputs, labels = None, [], None
     for step in ("smallest", "largest", "drawn", "all"):
         spread = settle(entries(labels))
         mixed = mixed_cells(spread, step)
         if mixed.where(F.length("cell") > 0).limit(1).count():
             new = verified(rest(spread, mixed) if step == "all" else tries(spread, mixed, step != "drawn"))
             found = new if found is None else found.unionByName(new)
-            labels = connected_components(found)
+            inputs.append(new)
+            labels = connected_components(found, *inputs)
         release(spread, mixed)
         if labels is None:
             break
